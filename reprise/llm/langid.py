@@ -19,7 +19,6 @@ class LanguageModel:
     """Raw-content dictionaries by language code, all of about one size."""
 
     contents: tuple[tuple[str, bytes], ...]
-    level: int = 1
 
 
 def letters(text: str | None) -> bytes:
@@ -27,7 +26,7 @@ def letters(text: str | None) -> bytes:
     return _OTHER.sub(" ", (text or "").lower()).strip().encode()
 
 
-def fit_languages(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", rows_per_lang: int = 256, slice_chars: int = 1024, dict_bytes: int = 65536, max_langs: int = 256, level: int = 1) -> LanguageModel:
+def fit_languages(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", rows_per_lang: int = 256, slice_chars: int = 1024, dict_bytes: int = 131072, max_langs: int = 256) -> LanguageModel:
     """Dictionaries from a bounded sample: at most `rows_per_lang` slices of `slice_chars` characters for each language.
 
     Rows where `train` holds and text and language are known take part. Each language is thinned by a hash to about
@@ -39,7 +38,7 @@ def fit_languages(docs: DataFrame, train: Column, text: str = "text", lang: str
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not counts:
-        return LanguageModel((), level)
+        return LanguageModel(())
     mixed = F.pmod(F.xxhash64(F.lit(7), text), F.lit(1_000_000))
     quota = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, 2_000_000 * rows_per_lang // n + 1))])
     start = F.lit(1) + F.pmod(F.xxhash64(F.lit(11), text), F.greatest(F.lit(1), F.length(text) - slice_chars)).cast("int")
@@ -48,7 +47,7 @@ def fit_languages(docs: DataFrame, train: Column, text: str = "text", lang: str
     for r in picked.orderBy("m", "k", "s").limit(3 * rows_per_lang * len(counts)).collect():
         if len(pool[r["k"]]) < rows_per_lang:
             pool[r["k"]].append(letters(r["s"]))
-    return LanguageModel(tuple((k, b" ".join(pool[k])[:dict_bytes]) for k in sorted(pool)), level)
+    return LanguageModel(tuple((k, b" ".join(pool[k])[:dict_bytes]) for k in sorted(pool)))
 
 
 class Judge:
@@ -58,9 +57,10 @@ class Judge:
         self.window, self.margin = window_bytes, margin
         self.codes = [k for k, _ in model.contents]
         self.packers = []
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=17, hash_log=14, chain_log=14, search_log=3, min_match=4, write_content_size=False, write_dict_id=False)
         for _, content in model.contents:
             known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content else None
-            self.packers.append(zstandard.ZstdCompressor(level=model.level, dict_data=known, write_content_size=False, write_dict_id=False))
+            self.packers.append(zstandard.ZstdCompressor(dict_data=known, compression_params=how))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, confidence from 0 to 1, whether the margin is too narrow to accept it)."""

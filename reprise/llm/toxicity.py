@@ -74,7 +74,7 @@ class Meter:
 
     def __init__(self, model: ToxicityModel) -> None:
         self.model = model
-        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_DFAST, window_log=13, hash_log=13, chain_log=12, search_log=1, min_match=5, write_content_size=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=13, hash_log=11, chain_log=12, search_log=2, min_match=5, write_content_size=False, write_dict_id=False)
         self.toxic, self.ordinary = [
             zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress for c in (model.toxic, model.ordinary)
         ]
@@ -126,8 +126,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int =
     """Dictionaries and calibration from a bounded sample: at most `rows` labelled rows, `chars` characters of each.
 
     `labels` has (doc_id, toxic); rows where `train` holds take part, repeated ids with their highest label. One half
-    of the sample gives the dictionaries: both hold the `base_words` most common words, the toxic one
-    also up to `runs` byte runs that tell toxic texts from ordinary ones, the ordinary one the reverse.
+    of the sample gives the dictionaries: that of ordinary text is its `base_words` most common words,
+    after padding; that of toxic
+    text holds them at the same distance from a window, and before them up to `runs` byte runs of toxic texts that ordinary ones lack.
     The other half calibrates, so that the score is not measured on texts that made the dictionaries. With one class
     only, or no rows, every score is that class's smoothed share.
     """
@@ -140,8 +141,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int =
         return ToxicityModel(b" ", b" ", (prior, 0.0, 0.0, 0.0, 0.0))
     common = Counter(w for t in ordinary + toxic for w in _words(t))
     base = b" ".join(sorted(sorted(common, key=lambda w: (-common[w], w))[:base_words], key=lambda w: (common[w], w)))
-    told = [b"\n".join(_telling(*pair, runs)) for pair in ((toxic, ordinary), (ordinary, toxic))]
-    model = ToxicityModel(told[0] + b" " + base + b" ", told[1] + b" " + base + b" ", (prior, 0.0, 0.0, 0.0, 0.0))
+    told = b"\n".join(_telling(toxic, ordinary, runs))
+    model = ToxicityModel(told + b" " + base + b" ", b"#" * len(told) + b" " + base + b" ", (prior, 0.0, 0.0, 0.0, 0.0))
     meter = Meter(model)
     x = np.array([meter.features(meter.windows(t)[1]) for t, _ in sample[1::2]])
     y = np.array([v for _, v in sample[1::2]], dtype=float)
