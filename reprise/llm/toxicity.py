@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SEPARATORS = re.compile(rb"[^a-z0-9\x80-\xff]+")
-_LENGTHS = (5, 6, 7, 8)
+_LENGTHS = (6, 7, 8)
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _grams(text: str) -> np.ndarray:
-    """The distinct byte runs of 5 to 8 in a text's words and single spaces, each packed into 64 bits."""
+    """The distinct byte runs of 6 to 8 in a text's words and single spaces, each packed into 64 bits."""
     data = np.frombuffer(b" " + b" ".join(_words(text)) + b" " + b"\0" * 8, dtype=np.uint8)
     n = len(data) - 8
     packed = np.zeros(n, dtype=np.uint64)
@@ -74,7 +74,7 @@ class Meter:
 
     def __init__(self, model: ToxicityModel) -> None:
         self.model = model
-        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=13, hash_log=11, chain_log=12, search_log=2, min_match=5, write_content_size=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=13, hash_log=11, chain_log=12, search_log=2, min_match=6, write_content_size=False, write_dict_id=False)
         self.toxic, self.ordinary = [
             zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress for c in (model.toxic, model.ordinary)
         ]
