@@ -59,6 +59,12 @@ FROM p
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reprise.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reprise.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -79,7 +85,7 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language, op5_url_rules, op7_toxicity, op8_tokens)}
+    return {f.__name__: f for f in (op1_simhash, op2_language, op5_url_rules, op6_mixing, op7_toxicity, op8_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
