@@ -84,9 +84,69 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), definition)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reprise.llm.decontam import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+bw AS (
+  SELECT item_id, least(len(w), 10) AS l, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS t
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(s) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT l FROM bw),
+dw AS (
+  SELECT doc_id, s, l, array_to_string(w[s : s + l - 1], ' ') AS t
+  FROM d, lens, unnest(range(1, len(w) - l + 2)) AS u(s) WHERE len(w) >= l),
+h AS (SELECT dw.doc_id, dw.s, dw.l, bw.item_id FROM dw JOIN bw ON dw.t = bw.t AND dw.l = bw.l),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(s, s + l)) AS u(p) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reprise.llm.license import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("matches", lambda m: m["base"])
+    names = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, lambda m: m["label"]))), ",")
+    starts = F.transform(base, lambda m: m["start"])
+    score = F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), names(base).alias("base_labels"), names(F.col("matches")).alias("labels"), score.alias("score"))
+
+
+def _op10_sql() -> str:
+    from reprise.llm.license import TEMPLATES
+
+    rows = ", ".join(f"('{label}', '{words}', '{phrase}', {base})" for label, words, phrase, base in TEMPLATES)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT label, base, string_split(words, ' ') AS t, string_split(phrase, ' ') AS p FROM (VALUES {rows}) AS v(label, words, phrase, base)),
+o AS (SELECT label, base, t, p, list_filter(range(0, len(t) - len(p) + 1), lambda i: t[i + 1 : i + len(p)] = p)[1] AS o FROM k),
+f AS (
+  SELECT doc_id, label, base, s - 1 AS start,
+         len(list_filter(range(0, len(t)), lambda i: s - o + i >= 1 AND w[s - o + i] = t[i + 1])) / len(t) AS share
+  FROM d, o, unnest(range(1, len(w) - len(p) + 2)) AS u(s) WHERE list_contains(w, p[1]) AND w[s] = p[1] AND w[s : s + len(p) - 1] = p),
+b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f WHERE base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language, op5_url_rules, op6_mixing, op7_toxicity, op8_tokens)}
+    return {f.__name__: f for f in (op1_simhash, op2_language, op5_url_rules, op6_mixing, op7_toxicity, op8_tokens, op9_decontamination, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_rules": OP5_SQL}
+    return {"op5_url_rules": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_licenses": _op10_sql()}
