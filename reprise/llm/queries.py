@@ -34,6 +34,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).withColumn("held_out", held)
 
 
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reprise.llm.syncmers import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reprise.llm.urlfilter import judge_urls
 
@@ -145,7 +151,7 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language, op5_url_rules, op6_mixing, op7_toxicity, op8_tokens, op9_decontamination, op10_licenses)}
+    return {f.__name__: f for f in (op1_simhash, op2_language, op3_syncmers, op5_url_rules, op6_mixing, op7_toxicity, op8_tokens, op9_decontamination, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
