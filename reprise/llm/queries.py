@@ -40,6 +40,14 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reprise.llm.repeats import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reprise.llm.urlfilter import judge_urls
 
@@ -151,7 +159,7 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language, op3_syncmers, op5_url_rules, op6_mixing, op7_toxicity, op8_tokens, op9_decontamination, op10_licenses)}
+    return {f.__name__: f for f in (op1_simhash, op2_language, op3_syncmers, op4_repeats, op5_url_rules, op6_mixing, op7_toxicity, op8_tokens, op9_decontamination, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
