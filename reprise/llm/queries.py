@@ -158,8 +158,14 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language, op3_syncmers, op4_repeats, op5_url_rules, op6_mixing, op7_toxicity, op8_tokens, op9_decontamination, op10_licenses)}
+    return {f.__name__: f for f in (op1_simhash, op2_language, op3_syncmers, op4_repeats, op5_url_rules, op6_mixing, op7_toxicity, op8_tokens, op9_decontamination, op10_licenses, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,6 +34,25 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(majority).tobytes(), "big", signed=True)
 
 
+def word_fingerprints(text: str | None, shingle: int, draws: int) -> list[int]:
+    """`draws` SimHashes of one text's shingles: the first as `fingerprint` has it, the others over remixed hashes."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return [0] * draws
+    digest = xxhash.xxh64_digest
+    parts = zip(*[words[i:] for i in range(shingle)]) if len(words) >= shingle else [words]
+    h = np.frombuffer(b"".join([digest(b" ".join(p), 42) for p in parts]), dtype=">u8").astype(np.uint64)
+    out = []
+    for _ in range(draws):
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64)
+        majority = bits.sum(0, dtype=np.int64) * 2 > len(bits)
+        out.append(int.from_bytes(np.packbits(majority).tobytes(), "big", signed=True))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(30)
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) for every row of `docs` (doc_id, text); a null text has no words and fingerprint 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,3 +213,30 @@ def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     known = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return signed.join(known, "fp").select("doc_id", hexed, "component_id")
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 2, draws: int = 3) -> DataFrame:
+    """(doc_id, component_id) of every row of `docs` (doc_id, text) whose id is not null.
+
+    As `simhash_groups`, but a link in any of `draws` independent SimHashes of the same shingles joins two texts. At three
+    bits, one SimHash finds only the closest copies; each further one finds more of the rest.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_fingerprints(t.as_py(), shingle, draws) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fps"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = cut(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fps array<long>"))
+    nodes = signed.groupBy("fps").agg(F.min("doc_id").alias("rep"))
+    edges = None
+    for d in range(draws):
+        heads = nodes.groupBy(F.col("fps")[d].alias("fp")).agg(F.min("rep").alias("head"))
+        members = nodes.select(F.col("fps")[d].alias("fp"), "rep").join(heads, "fp").where("rep <> head").select(F.col("rep").alias("src"), F.col("head").alias("dst"))
+        links = link_fingerprints(heads)
+        a, b = heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
+        met = links.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        edges = members.union(met) if edges is None else edges.union(members).union(met)
+    parts = connected_components(edges)
+    placed = nodes.join(parts, nodes.rep == parts.id, "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
+    return signed.join(placed, "fps").select("doc_id", "component_id")

@@ -125,28 +125,31 @@ def _sampled(docs: DataFrame, labels: DataFrame, train: Column, rows: int, chars
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int = 4000, chars: int = 16384, runs: int = 96, base_words: int = 400) -> ToxicityModel:
     """Dictionaries and calibration from a bounded sample: at most `rows` labelled rows, `chars` characters of each.
 
-    `labels` has (doc_id, toxic); rows where `train` holds take part, repeated ids with their highest label. One half
-    of the sample gives the dictionaries: that of ordinary text is its `base_words` most common words,
-    after padding; that of toxic
-    text holds them at the same distance from a window, and before them up to `runs` byte runs of toxic texts that ordinary ones lack.
-    The other half calibrates, so that the score is not measured on texts that made the dictionaries. With one class
-    only, or no rows, every score is that class's smoothed share.
+    `labels` has (doc_id, toxic); rows where `train` holds take part, repeated ids with their highest label. The dictionary of
+    ordinary text is the `base_words` most common words, after padding; that of toxic text holds them at the same distance from a
+    window, and before them up to `runs` byte runs of toxic texts that ordinary ones lack. To calibrate, dictionaries of one half of the
+    sample are tried on the other, so that the score is not measured on texts that made the dictionaries; the final ones
+    are of the whole sample. With one class only, or no rows, every score is that class's smoothed share.
     """
     sample = _sampled(docs, labels, train, rows, chars)
     n, positive = len(sample), sum(y for _, y in sample)
     prior = math.log((positive + 0.5) / (n - positive + 0.5))
-    first = sample[0::2]
-    toxic, ordinary = [t for t, y in first if y], [t for t, y in first if not y]
-    if not toxic or not ordinary or not 0 < positive < n:
-        return ToxicityModel(b" ", b" ", (prior, 0.0, 0.0, 0.0, 0.0))
-    common = Counter(w for t in ordinary + toxic for w in _words(t))
-    base = b" ".join(sorted(sorted(common, key=lambda w: (-common[w], w))[:base_words], key=lambda w: (common[w], w)))
-    told = b"\n".join(_telling(toxic, ordinary, runs))
-    model = ToxicityModel(told + b" " + base + b" ", b"#" * len(told) + b" " + base + b" ", (prior, 0.0, 0.0, 0.0, 0.0))
-    meter = Meter(model)
+    flat = (prior, 0.0, 0.0, 0.0, 0.0)
+    if not 0 < positive < n:
+        return ToxicityModel(b" ", b" ", flat)
+
+    def trained(rows: list[tuple[str, int]]) -> ToxicityModel:
+        toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
+        common = Counter(w for t, _ in rows for w in _words(t))
+        base = b" ".join(sorted(sorted(common, key=lambda w: (-common[w], w))[:base_words], key=lambda w: (common[w], w)))
+        told = b"\n".join(_telling(toxic, ordinary, runs))
+        return ToxicityModel(told + b" " + base + b" ", b"#" * len(told) + b" " + base + b" ", flat)
+
+    meter = Meter(trained(sample[0::2]))
     x = np.array([meter.features(meter.windows(t)[1]) for t, _ in sample[1::2]])
     y = np.array([v for _, v in sample[1::2]], dtype=float)
-    return ToxicityModel(model.toxic, model.ordinary, tuple(map(float, _logistic(x, y)))) if 0 < y.sum() < len(y) else model
+    final = trained(sample)
+    return ToxicityModel(final.toxic, final.ordinary, tuple(map(float, _logistic(x, y))) if 0 < y.sum() < len(y) else flat)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -171,3 +174,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, n_windows long, worst string")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `score_toxicity` does not predict as toxic."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meter = Meter(model)
+        for batch in batches:
+            yield batch.filter(pa.array([meter.score(meter.windows(t.as_py())[1]) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
