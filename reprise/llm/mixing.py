@@ -63,7 +63,7 @@ def apportion(parties: DataFrame, seats: str, votes: str, order: list[str], grou
     return a.join(b, same, "left").select("a.*", "b._won").withColumn("quota", F.col("_first") + F.coalesce("_won", F.lit(0))).drop("_v", "_p", "_first", "_left", "_won")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 4_000_000, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 1_000_000, seed: int = 17) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of `docs` (doc_id, text, source).
 
     Blocks of `block` words are apportioned to the sources by their targets and then, within a source, to its shards by
