@@ -1 +1 @@
-
+"""Operators from DataFrames and parameters to a DataFrame."""
