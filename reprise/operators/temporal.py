@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 from reprise.plans.lineage import cut
 
 
+def _micros(ts: Column | str) -> Column:
+    """Microseconds of a time with or without a zone; one without counts as the session's."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def span_floor_days(first: Column, last: Column) -> Column:
     """Whole days between two times, rounded down; 0 where either is null."""
-    return F.coalesce(F.floor((F.unix_micros(last) - F.unix_micros(first)) / 86_400_000_000), F.lit(0)).cast("int")
+    return F.coalesce(F.floor((_micros(last) - _micros(first)) / 86_400_000_000), F.lit(0)).cast("int")
 
 
 def span_rounded_days(first: Column, last: Column) -> Column:
     """Days between two times, rounded half to even."""
-    return F.bround((F.unix_micros(last) - F.unix_micros(first)) / 86_400_000_000, 0).cast("int")
+    return F.bround((_micros(last) - _micros(first)) / 86_400_000_000, 0).cast("int")
 
 
 def span_date_days(first: Column, last: Column) -> Column:
@@ -25,7 +30,7 @@ def span_date_days(first: Column, last: Column) -> Column:
 
 
 def span_fractional_days(first: Column, last: Column) -> Column:
-    return (F.unix_micros(last) - F.unix_micros(first)) / 86_400_000_000
+    return (_micros(last) - _micros(first)) / 86_400_000_000
 
 
 def eligible(span: Column, window_days: Column | int, rule: str = "span_days_strict") -> Column:
@@ -87,7 +92,7 @@ def sessionize_timestamps(members: DataFrame, window_days: int, keys: tuple[str,
     gap = F.lit(window_days * 86_400_000_000)
     order = W.partitionBy(*keys).orderBy(F.col("ts").asc_nulls_last(), "incident_id")
     before = F.lag("ts").over(order)
-    new = F.col("ts").isNull() | before.isNull() | ((F.unix_micros("ts") - F.unix_micros(before)) > gap)
+    new = F.col("ts").isNull() | before.isNull() | ((_micros("ts") - _micros(before)) > gap)
     rows = members.withColumn("_new", new.cast("int"))
     rows = rows.withColumn("episode_no", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_new")
     counts = cut(rows.groupBy(*keys).agg(F.max("episode_no").alias("_n")))
