@@ -56,7 +56,7 @@ def coverage(spark, sf):
     return Q.module_coverage(_marked(spark, sf), "modul")
 
 
-@query("DQ-08", rf"WITH {TEXTS}, y AS (SELECT doc_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM x) SELECT doc_id, t IS NULL OR length(t) < 5 OR len(regexp_split_to_array(t, '\s+')) < 2 OR t IN ('test', 'tes', 'testing', 'coba', 'ok', 'oke', '-', '.', 'n/a', 'na', 'none', 'null', 'xxx', 'asdf') OR regexp_matches(t, '^[-\.\?]{{2,}}$') OR regexp_matches(t, '^[a-z]{{1,4}}$') OR regexp_matches(t, '^[0-9]+$') OR regexp_matches(t, '(asd|qwe|zxc){{2,}}') AS meaningless FROM y")
+@query("DQ-08", rf"WITH {TEXTS}, y AS (SELECT doc_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM x) SELECT doc_id, t IS NULL OR length(t) < 5 OR len(regexp_split_to_array(t, '\s+')) < 2 OR t IN ('tes', 'test', 'test1', 'test 1', 'cek', 'coba', 'uji', 'ujicoba', 'uji coba', 'abc', 'xx', 'ok', '....', '...', '..', '--', '---', '??', '?') OR regexp_matches(t, '^[-\.\?]{{2,}}$') OR regexp_matches(t, '^[a-z]{{1,4}}$') OR regexp_matches(t, '^[0-9]+$') OR regexp_matches(t, '(asd|qwe|zxc){{2,}}') AS meaningless FROM y")
 def meaningless(spark, sf):
     return texts(spark, sf).select("doc_id", Q.is_meaningless(F.col("text")).alias("meaningless"))
 

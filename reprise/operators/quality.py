@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Texts that say nothing. A short list of placeholders.
-MEANINGLESS = ["test", "tes", "testing", "coba", "ok", "oke", "-", ".", "n/a", "na", "none", "null", "xxx", "asdf"]
+from reprise.functions.rules import MEANINGLESS
+
 #: Why a row is dropped, in the order in which reasons count.
 REASONS = ("null", "duplicate", "low_module", "kept")
 
