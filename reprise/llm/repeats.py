@@ -90,6 +90,30 @@ def _flushed(rows: Iterator[tuple[int, int, bytes]], limit: int = 16 << 20) -> I
         yield _rows(held)
 
 
+def _by_bucket(found: Iterator[tuple], parts: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, doc, more columns) put together over many parts, then dealt by the document's bucket.
+
+    A task so sends each bucket a few rows, not one for each of its parts.
+    """
+    held: dict[int, list[tuple]] = {}
+    size = 0
+
+    def out():
+        for kind, rows in held.items():
+            doc, *rest = (np.concatenate(c) for c in zip(*rows))
+            yield from _split(_bucket(doc, parts), kind, doc, *rest)
+
+    for kind, *columns in found:
+        if not len(columns[0]):
+            continue
+        held.setdefault(kind, []).append(tuple(columns))
+        size += len(columns[0])
+        if size >= limit:
+            yield from out()
+            held, size = {}, 0
+    yield from out()
+
+
 def _firsts(group: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Which rows stand at their group's least (id, place)."""
     order = np.lexsort((places, ids, group))
@@ -142,7 +166,7 @@ def _mark(parts: int):
         key = anchor ^ (content * np.uint64(0x9E3779B97F4A7C15))
         first = _firsts(key, doc, start)
         rest = ~first
-        yield from _split(_bucket(doc[rest], parts), _DONE, doc[rest], start[rest], span[rest] + WINDOW)
+        yield from _split(np.full(int(rest.sum()), int(ids[0]) % parts), _DONE, doc[rest], start[rest], span[rest] + WINDOW)
         yield from _split((anchor[first] >> np.uint64(20)).astype(np.int64) % parts, _SEGMENT, anchor[first], content[first], doc[first], start[first], span[first])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,24 +179,24 @@ def _mark(parts: int):
 
 def _classify(parts: int):
     """Of each anchor's segments: repeated contents are done, and where contents differ the first of each goes on."""
-    def rows(batches) -> Iterator[tuple[int, int, bytes]]:
-        for part, held in _by_part(batches):
+    def found(batches) -> Iterator[tuple]:
+        for _, held in _by_part(batches):
             for blob in held.get(_DONE, []):
-                yield part, _DONE, blob
+                yield _DONE, *_unpack(blob)
             if _SEGMENT not in held:
                 continue
             anchor, content, doc, start, span = _joined(held[_SEGMENT])
             first = _firsts(anchor ^ (content * np.uint64(0x9E3779B97F4A7C15)), doc, start)
             rest = ~first
-            yield from _split(_bucket(doc[rest], parts), _DONE, doc[rest], start[rest], span[rest] + WINDOW)
+            yield _DONE, doc[rest], start[rest], span[rest] + WINDOW
             anchor, content, doc, start, span = (c[first] for c in (anchor, content, doc, start, span))
             _, inverse, counts = np.unique(anchor, return_inverse=True, return_counts=True)
             shared = counts[inverse]
             few, many = (shared > 1) & (shared <= MANY), shared > MANY
-            yield from _split(_bucket(doc[few], parts), _STRINGS, doc[few], start[few], span[few], anchor[few])
-            yield from _split(_bucket(doc[many], parts), _WINDOWS, doc[many], start[many], span[many])
+            yield _STRINGS, doc[few], start[few], span[few], anchor[few]
+            yield _WINDOWS, doc[many], start[many], span[many]
 
-    return lambda batches: _flushed(rows(batches))
+    return lambda batches: _flushed(_by_bucket(found(batches), parts))
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[int], list, pa.RecordBatch | None]]:
@@ -285,7 +309,7 @@ def _index(parts: int):
             rest = ~_firsts(match, ids, at)
             yield ids[rest], at[rest]
 
-    def rows(batches) -> Iterator[tuple[int, int, bytes]]:
+    def removed(batches) -> Iterator[tuple]:
         for _, held in _by_part(batches):
             found = []
             if _STRINGS in held:
@@ -304,10 +328,9 @@ def _index(parts: int):
                 rest = ~_firsts(one ^ (two * np.uint64(0x9E3779B97F4A7C15)), doc, place)
                 found.append((doc[rest], place[rest]))
             if found:
-                doc, start, length = _runs(*(np.concatenate(c) for c in zip(*found)))
-                yield from _split(_bucket(doc, parts), _DONE, doc, start, length)
+                yield _DONE, *_runs(*(np.concatenate(c) for c in zip(*found)))
 
-    return lambda batches: _flushed(rows(batches))
+    return lambda batches: _flushed(_by_bucket(removed(batches), parts))
 
 
 def _merged(start: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
