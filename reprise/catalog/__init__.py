@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reprise.catalog.registry import QUERIES, SQL
 
-_MODULES: tuple[str, ...] = ("episodes", "profiles", "wording", "tabular")
+_MODULES: tuple[str, ...] = ("episodes", "profiles", "wording", "tabular", "spaces", "prediction")
 for _name in _MODULES:
     import_module(f"reprise.catalog.{_name}")
 

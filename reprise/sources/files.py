@@ -61,7 +61,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
 def read_csv_tolerant(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
     """(rows, skipped): rows of `columns` strings; skipped has the number of lines of another number of fields."""
     schema = ", ".join(f"`{c}` string" for c in columns) + ", _corrupt string"
-    raw = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
+    raw = spark.read.option("columnPruning", False).csv(path, header=True, sep=delimiter, encoding=encoding, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
     good = raw.where("_corrupt IS NULL").drop("_corrupt")
     return good, raw.agg(F.count_if(F.col("_corrupt").isNotNull() & (F.coalesce(F.col(columns[0]), F.lit("")) >= "")).alias("n_skipped"))
 
