@@ -127,9 +127,11 @@ def _firsts(group: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarra
 
 def _runs(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows at (id, place) as (id, start, length) of the byte runs that windows in a row cover."""
+    if not len(ids):
+        return ids, places, places
     order = np.lexsort((places, ids))
     ids, places = ids[order], places[order]
-    new = np.r_[True, (ids[1:] != ids[:-1]) | (places[1:] > places[:-1] + 1)] if len(ids) else np.zeros(0, bool)
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (places[1:] > places[:-1] + 1)]
     at = np.flatnonzero(new)
     last = np.r_[at[1:], len(ids)] - 1
     return ids[at], places[at], places[last] - places[at] + WINDOW
