@@ -43,7 +43,7 @@ def _grams(text: str) -> np.ndarray:
     return np.unique(np.concatenate([packed[: max(0, n - k + 1)] & ~np.uint64((1 << (64 - 8 * k)) - 1) for k in _LENGTHS]))
 
 
-def _telling(own: list[str], other: list[str], most: int, cover: int = 3, ratio: float = 20.0) -> list[bytes]:
+def _telling(own: list[str], other: list[str], most: int, cover: int = 2, ratio: float = 20.0) -> list[bytes]:
     """Byte runs of many texts of `own` and few of `other`, picked until each text has `cover` of them."""
     sets = [_grams(t) for t in own]
     if not sets:
@@ -56,6 +56,8 @@ def _telling(own: list[str], other: list[str], most: int, cover: int = 3, ratio:
     a, b = (held + 0.5) / (len(own) + 1), (seen + 0.5) / (len(other) + 1)
     good = a >= ratio * b
     runs, weight = runs[good], np.log(a[good] / b[good])
+    spelled = [int(r).to_bytes(8, "big").rstrip(b"\0") for r in runs]
+    weight *= np.array([1 + len(b) / 100 for b in spelled])  # of runs in the same texts, the longest
     has = np.stack([np.isin(runs, s, assume_unique=True) for s in sets]) if len(runs) else np.zeros((len(sets), 0), bool)
     need, picked = np.full(len(sets), cover), []
     while len(picked) < most and len(runs):
@@ -63,9 +65,10 @@ def _telling(own: list[str], other: list[str], most: int, cover: int = 3, ratio:
         at = int(np.argmax(gain))
         if gain[at] < 8:
             break
-        picked.append(int(runs[at]).to_bytes(8, "big").rstrip(b"\0"))
+        picked.append(spelled[at])
         need -= has[:, at]
-        has[:, at] = False
+        pieces = [spelled[at][i : i + 5] for i in range(len(spelled[at]) - 4)]
+        has[:, [any(p in b for p in pieces) for b in spelled]] = False  # what overlaps it tells nothing new
     return picked
 
 
@@ -74,7 +77,7 @@ class Meter:
 
     def __init__(self, model: ToxicityModel) -> None:
         self.model = model
-        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=13, hash_log=11, chain_log=12, search_log=2, min_match=6, write_content_size=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=14, hash_log=14, chain_log=14, search_log=3, min_match=6, write_content_size=False, write_dict_id=False)
         self.toxic, self.ordinary = [
             zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress for c in (model.toxic, model.ordinary)
         ]
@@ -140,7 +143,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int =
 
     def trained(rows: list[tuple[str, int]]) -> ToxicityModel:
         toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
-        common = Counter(w for t, _ in rows for w in _words(t))
+        common = Counter(w for t in ordinary for w in _words(t))
         base = b" ".join(sorted(sorted(common, key=lambda w: (-common[w], w))[:base_words], key=lambda w: (common[w], w)))
         told = b"\n".join(_telling(toxic, ordinary, runs))
         return ToxicityModel(told + b" " + base + b" ", b"#" * len(told) + b" " + base + b" ", flat)
