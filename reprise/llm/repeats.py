@@ -15,7 +15,9 @@ from reprise.plans.lineage import cut
 #: An anchor with more different segments than this is resolved window by window, in shards of its windows.
 MANY = 256
 #: Strings of at most so many bytes go into one index.
-SHARD = 1 << 20
+SHARD = 1 << 18
+#: Texts of about so many bytes are marked at a time.
+MARKED = 12 << 20
 #: Stands for a null id; such rows come first.
 NULL_ID = -(1 << 63)
 
@@ -78,7 +80,7 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "blob"])
 
 
-def _flushed(rows: Iterator[tuple[int, int, bytes]], limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _flushed(rows: Iterator[tuple[int, int, bytes]], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for r in rows:
         held.append(r)
@@ -90,7 +92,7 @@ def _flushed(rows: Iterator[tuple[int, int, bytes]], limit: int = 16 << 20) -> I
         yield _rows(held)
 
 
-def _by_bucket(found: Iterator[tuple], parts: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+def _by_bucket(found: Iterator[tuple], parts: int, limit: int = 1 << 18) -> Iterator[tuple[int, int, bytes]]:
     """(kind, doc, more columns) put together over many parts, then dealt by the document's bucket.
 
     A task so sends each bucket a few rows, not one for each of its parts.
@@ -173,8 +175,10 @@ def _mark(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from _flushed(rows(batch))
+            rest, step = batch.num_rows, max(1, MARKED * batch.num_rows // max(1, batch.nbytes))
+            for at in range(0, rest, step):
+                yield from _flushed(rows(batch.slice(at, step)))
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -265,7 +269,7 @@ def _fetch(parts: int):
     return lambda batches: _flushed(_grouped(rows(batches)))
 
 
-def _grouped(rows: Iterator[tuple[int, int, bytes]], limit: int = 24 << 20) -> Iterator[tuple[int, int, bytes]]:
+def _grouped(rows: Iterator[tuple[int, int, bytes]], limit: int = 12 << 20) -> Iterator[tuple[int, int, bytes]]:
     """Blobs of one part and kind put together, up to some total size, so that few rows are shuffled."""
     held: dict[tuple[int, int], list[bytes]] = {}
     size = 0
@@ -373,7 +377,7 @@ def _remove(as_text: bool, names: list[str]):
 
         last, size = None, 0
         for bucket, held, row, batch in _streamed(batches):
-            if batch is not last or size >= 16 << 20:
+            if batch is not last or size >= 4 << 20:
                 if found:
                     yield out(last, found)
                 found, last, size = [], batch, 0

@@ -9,7 +9,7 @@ WINDOW = 100
 #: Length in bytes of an anchor.
 ANCHOR = 24
 #: Texts are worked on in pieces of at most this many bytes.
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
