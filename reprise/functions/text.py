@@ -147,6 +147,10 @@ def token_counts(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"<[A-Z_]+>"), 0)
 
 
+def _named(name: str):
+    return lambda m: F.struct(F.lit(name).alias("name"), m.alias("match"))
+
+
 def redact_wide(rows: DataFrame, text: str, out: str = "redacted", placeholder: bool = True, enabled: set[str] | None = None) -> DataFrame:
     """`rows` with `out` and `hits` (array of (name, match)): the wide rules in order, as placeholders or removed.
 
@@ -158,7 +162,7 @@ def redact_wide(rows: DataFrame, text: str, out: str = "redacted", placeholder:
         if enabled is not None and name not in enabled:
             continue
         p = "(?U)" + pattern
-        found = F.transform(F.regexp_extract_all(F.col(out), F.lit(p), 0), lambda m, n=name: F.struct(F.lit(n).alias("name"), m.alias("match")))
+        found = F.transform(F.regexp_extract_all(F.col(out), F.lit(p), 0), _named(name))
         rows = rows.withColumn(f"_h{i}", found)
         by = f" __{name}__ " if placeholder else " "
         if name == "NAMA_WP":  # the label stays, its spaces at the ends do not

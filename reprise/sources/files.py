@@ -55,7 +55,8 @@ def detect_encoding(sample: bytes) -> str:
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "utf-8") -> DataFrame:
     """A delimited file with a header, every column a string as written; blanks stay blank."""
     sep = delimiter or detect_delimiter(sample_bytes(spark, path).decode("utf-8", "replace"))
-    return spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False, nullValue="\u0000", emptyValue="", multiLine=True, quote='"', escape='"')
+    rows = spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False, nullValue="\u0000", emptyValue="", multiLine=True, quote='"', escape='"')
+    return rows.fillna("")  # the reader gives null for a field without characters
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
