@@ -15,6 +15,8 @@ from reprise.plans.lineage import cut
 
 #: Links reach this many differing bits: two segments of 32 bits, of which one differs by at most one bit.
 MAX_BITS = 3
+#: Candidates for near copies reach this many: four segments of 16 bits, of which one differs by at most one bit.
+NEAR_BITS = 7
 #: Buckets of more fingerprints than this are not compared within; they are cut further.
 BUCKET = 2048
 
@@ -34,14 +36,18 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(majority).tobytes(), "big", signed=True)
 
 
-def word_fingerprints(text: str | None, shingle: int, draws: int) -> list[int]:
-    """`draws` SimHashes of one text's shingles: the first as `fingerprint` has it, the others over remixed hashes."""
-    words = (text or "").encode().lower().split()
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct hashes of the shingles of `size` words, ascending; of fewer words, that of all of them."""
     if not words:
-        return [0] * draws
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_digest
-    parts = zip(*[words[i:] for i in range(shingle)]) if len(words) >= shingle else [words]
-    h = np.frombuffer(b"".join([digest(b" ".join(p), 42) for p in parts]), dtype=">u8").astype(np.uint64)
+    parts = zip(*[words[i:] for i in range(size)]) if len(words) >= size else [words]
+    return np.unique(np.frombuffer(b"".join([digest(b" ".join(p), 42) for p in parts]), dtype=">u8").astype(np.uint64))
+
+
+def word_fingerprints(words: list[bytes], shingle: int, draws: int) -> list[int]:
+    """`draws` SimHashes of the distinct shingles of one text's words, each over remixed hashes; zeros without words."""
+    h = _hashes(words, shingle)
     out = []
     for _ in range(draws):
         bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64)
@@ -215,28 +221,139 @@ def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return signed.join(known, "fp").select("doc_id", hexed, "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 2, draws: int = 3) -> DataFrame:
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _node(words: list[bytes]) -> int:
+    """What stands for all texts of the same words."""
+    return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), 42), "big", signed=True)
+
+
+def _candidates(similarity: float, chain: bool):
+    """Candidates inside buckets of rows (key, fp, node, n, component) that come sorted by key.
+
+    A pair is one where at most NEAR_BITS bits differ, the set sizes n allow the similarity and the components differ. Each leaves in
+    one of the buckets that it shares. With `chain`, only neighbours in a bucket are compared.
+    """
+    def met(i, j, key, fp, node, n, comp):
+        keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        i, j = i[keep], j[keep]
+        x = fp[i] ^ fp[j]
+        keep = _differing(fp[i], fp[j]) <= NEAR_BITS
+        i, j, x = i[keep], j[keep], x[keep]
+        parts = np.stack([(x >> np.uint64(16 * s)) & np.uint64(0xFFFF) for s in range(4)]) if len(x) else np.zeros((4, 0), np.uint64)
+        seg = np.argmax(_POPCOUNT[parts] <= 1, axis=0)
+        part = parts[seg, np.arange(len(x))]
+        place = np.where(part == 0, 16, np.log2(np.maximum(part, 1)).astype(np.int64))
+        keep = key[i] >> 16 == 17 * seg + place
+        return node[i[keep]], node[j[keep]]
+
+    def whole(rows):
+        key = rows[0]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[first, len(key)])
+        end, size, at = np.repeat(first + sizes, sizes), np.repeat(sizes, sizes), np.arange(len(key))
+        for lag in range(1, 2 if chain else 65):
+            i = at[(at + lag < end) & (chain | (size <= 64))]
+            if not len(i):
+                break
+            yield met(i, i + lag, *rows)
+        for f, m in zip(first[sizes > 64], sizes[sizes > 64]) if not chain else ():
+            step = max(1, (1 << 20) // int(m))
+            for start in range(f, f + m, step):
+                i, j = np.meshgrid(np.arange(start, min(start + step, f + m)), np.arange(start + 1, f + m), indexing="ij")
+                above = i < j
+                yield met(i[above], j[above], *rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows):
+            for a, b in whole(rows):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, fp, *rest = [np.asarray(c) for c in batch.columns]
+            held.append([key, fp.view(np.uint64), *rest])
+            if key[0] == key[-1] and held[0][0][0] == key[0]:
+                continue  # one bucket so far
+            rows = [np.concatenate(c) for c in zip(*held)]
+            stop = np.searchsorted(rows[0], rows[0][-1])
+            yield from out([c[:stop] for c in rows])
+            held = [[c[stop:] for c in rows]]
+        if held:
+            yield from out([np.concatenate(c) for c in zip(*held)])
+
+    return run
+
+
+def _near_pairs(nodes: DataFrame, draw: int, similarity: float, chain: bool = False) -> DataFrame:
+    """(src, dst) of `nodes` (node, n, fps, component) that meet by the one-wildcard variants of four segments of one SimHash."""
+    rows = nodes.select(F.col("fps")[draw].alias("fp"), "node", "n", "component", F.explode(F.sequence(F.lit(0), F.lit(67))).alias("k"))
+    held = "CAST(k * 65536L + (shiftrightunsigned(fp, 16 * CAST(floor(k / 17) AS INT)) & 65535L & ~shiftleft(1L, k % 17)) AS INT)"
+    dealt = rows.select(F.expr(held).alias("key"), "fp", "node", "n", "component").repartition("key").sortWithinPartitions("key", "fp")
+    return dealt.mapInArrow(_candidates(similarity, chain), "src long, dst long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Those of `pairs` (src, dst) whose texts' sets of `size`-word shingles have a Jaccard of `similarity` or more."""
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_node(_words(t.as_py())) for t in batch.column(0)], pa.int64()), batch.column(0)], ["node", "text"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            keep = []
+            for src, a, b in zip(*(batch.column(c) for c in (0, 2, 3))):
+                if src.as_py() != last:
+                    last, own = src.as_py(), _hashes(_words(a.as_py()), size)
+                other = _hashes(_words(b.as_py()), size)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(both >= similarity * (len(own) + len(other) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = cut(pairs.distinct())
+    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    known = docs.select("text").mapInArrow(texts, "node long, text string").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    known = cut(known)
+    a, b = known.select(F.col("node").alias("src"), F.col("text").alias("a")), known.select(F.col("node").alias("dst"), F.col("text").alias("b"))
+    met = pairs.join(b, "dst").join(a, "src").select("src", "dst", "a", "b").sortWithinPartitions("src")
+    return cut(met.mapInArrow(judge, "src long, dst long"))
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 2, draws: int = 3, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """(doc_id, component_id) of every row of `docs` (doc_id, text) whose id is not null.
 
-    As `simhash_groups`, but a link in any of `draws` independent SimHashes of the same shingles joins two texts. At three
-    bits, one SimHash finds only the closest copies; each further one finds more of the rest.
+    Two texts are linked if the Jaccard of their sets of `size`-word shingles is at least `similarity`, which is computed for every
+    candidate; component_id is the least doc_id that links reach. Candidates differ by at most NEAR_BITS bits in any of `draws` independent
+    SimHashes of the sets of `shingle`-word shingles. A first round links neighbours within buckets, so that a large group of
+    near copies leaves few pairs for the second, which compares all that is not yet in one component.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [word_fingerprints(t.as_py(), shingle, draws) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fps"])
+            words = [_words(t.as_py()) for t in batch.column(1)]
+            columns = [pa.array([_node(w) for w in words], pa.int64()), pa.array([len(_hashes(w, size)) for w in words], pa.int32()), pa.array([word_fingerprints(w, shingle, draws) for w in words], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "n", "fps"])
 
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = cut(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fps array<long>"))
-    nodes = signed.groupBy("fps").agg(F.min("doc_id").alias("rep"))
-    edges = None
+    signed = cut(docs.mapInArrow(run, f"doc_id {kind}, node long, n int, fps array<long>"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fps").alias("fps"))
+    nodes = cut(nodes)
+    alone = nodes.withColumn("component", F.col("node"))
+    close = _verified(docs, _near_pairs(alone, 0, similarity, chain=True), similarity, size)
+    parts = connected_components(close).withColumnRenamed("id", "node")
+    joined = cut(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    pairs = None
     for d in range(draws):
-        heads = nodes.groupBy(F.col("fps")[d].alias("fp")).agg(F.min("rep").alias("head"))
-        members = nodes.select(F.col("fps")[d].alias("fp"), "rep").join(heads, "fp").where("rep <> head").select(F.col("rep").alias("src"), F.col("head").alias("dst"))
-        links = link_fingerprints(heads)
-        a, b = heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
-        met = links.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        edges = members.union(met) if edges is None else edges.union(members).union(met)
-    parts = connected_components(edges)
-    placed = nodes.join(parts, nodes.rep == parts.id, "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(placed, "fps").select("doc_id", "component_id")
+        step = cut(_near_pairs(joined, d, similarity))
+        pairs = step if pairs is None else pairs.union(step)
+    edges = close.union(_verified(docs, pairs, similarity, size))
+    parts = connected_components(edges).withColumnRenamed("id", "node")
+    placed = nodes.join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return signed.join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -131,6 +131,35 @@ def test_near_duplicates_keep_exact_copies_together(docs):
     assert got[8] == got[9] == got[6] == 6 and got[7] == 7
 
 
+def test_near_duplicates_are_those_of_the_required_similarity(spark):
+    from reprise.llm.simhash import near_duplicate_groups
+
+    r = random.Random(11)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, want = [], {}
+    for i in range(40):
+        one = [f"w{r.randrange(3000)}" for _ in range(200)]
+        two = list(one)
+        for p in range(1 + i % 8):
+            two[20 * p + 20] = f"x{r.randrange(3000)}"
+        a, b = shingles(one), shingles(two)
+        want[2 * i + 1] = 2 * i if len(a & b) / len(a | b) >= 0.8 else 2 * i + 1
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in want} == want and len(set(want.values()) & set(want)) == 20
+
+
+def test_near_duplicates_of_a_large_group(spark, nothing):
+    from reprise.llm.simhash import near_duplicate_groups
+
+    r = random.Random(5)
+    one = [f"w{r.randrange(3000)}" for _ in range(300)]
+    rows = [(i, " ".join(one[: 10 * (i % 25)] + [f"x{i}"] + one[10 * (i % 25) + 1 :])) for i in range(300)]
+    got = near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.select("component_id").distinct().collect()[0][0] == 0 and got.count() == 300
+    assert near_duplicate_groups(nothing).count() == 0
+
+
 # ---- 2 languages -------------------------------------------------------------------------------------------------
 def test_languages(spark, nothing):
     from reprise.llm.langid import fit_languages, identify_languages
