@@ -10,8 +10,6 @@ from reprise.llm.common import blank_words, let
 
 #: A k-mer is this many words, its inner substrings are pairs of words: four of them, so that half of all k-mers are chosen.
 WORDS = 5
-#: How many of the least anchor hashes a fingerprint keeps.
-KEPT = 128
 
 
 def _chosen(words: Column, pick) -> Column:
@@ -46,33 +44,49 @@ def anchors(text: Column) -> Column:
     return let(blank_words(text), found)
 
 
-def sketch(text: Column) -> Column:
-    """The least KEPT distinct anchor hashes, cut to 32 bits, ascending; all of them where there are fewer."""
-    def found(words: Column) -> Column:
-        chosen = _chosen(words, lambda s, i: F.shiftrightunsigned(_kmer(s, i), 32))
-        short = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(words, " ")), 32))
-        return F.when(F.size(words) >= WORDS, chosen).when(F.size(words) > 0, short).otherwise(F.filter(short, lambda x: F.lit(False)))
+def places(found: Column) -> Column:
+    """One hash for each of the `found` anchors, in order: its own, the next one's and the distance in words between them.
+
+    It holds what stands where relative to its neighbour, so a passage has the same ones wherever it stands.
+    """
+    after = lambda i: F.get(found, i + 1)
+    return F.transform(found, lambda x, i: F.xxhash64(x["hash"], after(i)["hash"], after(i)["pos"] - x["pos"]))
 
-    return F.slice(F.sort_array(F.array_distinct(let(blank_words(text), found))), 1, KEPT)
 
+def printed(found: Column) -> Column:
+    """A digest of all anchors with their positions: 32 hex digits, none without anchors."""
+    half = lambda *c: F.lower(F.lpad(F.hex(F.xxhash64(*c)), 16, "0"))
+    return F.when(F.size(found) == 0, F.lit("")).otherwise(F.concat(half(found), half(F.lit(1), found)))
 
-def printed(s: Column) -> Column:
-    """A sketch as text: eight hex digits for each hash."""
-    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+
+def prints(text: Column) -> Column:
+    """struct<fingerprint, places> over all anchors of a text."""
+    return let(anchors(text), lambda a: F.struct(printed(a).alias("fingerprint"), places(a).alias("places")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The estimated share of anchors that two texts have in common, from 0 to 1; two texts without anchors are alike."""
-    def of(u: Column) -> Column:
-        both = F.size(F.array_intersect(F.array_intersect(u, a), b))
-        jaccard = both / F.size(u)
-        return F.when(F.size(u) == 0, F.lit(1.0)).otherwise(2 * jaccard / (1 + jaccard))
+    """The share of all anchors of two texts that stand in both at the same distance from the same next anchor, from 0 to 1.
+
+    `a` and `b` are `places`. Each occurrence is matched once at most; two texts without anchors are alike. One fold over both lists in
+    order of hash counts the matches; the last bit of a hash tells the list.
+    """
+    even = F.lit(-2).cast("long")
+    both = F.sort_array(F.concat(F.transform(a, lambda x: x.bitwiseAND(even)), F.transform(b, lambda x: x.bitwiseOR(F.lit(1).cast("long")))))
+    state = lambda key, left, n: F.struct(key.alias("key"), left.alias("left"), n.alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        base = x.bitwiseAND(even)
+        first, same = base == x, base == s["key"]
+        found = state(s["key"], s["left"] - 1, s["n"] + 1)
+        return F.when(first & same, state(s["key"], s["left"] + 1, s["n"])).when(first, state(base, F.lit(1), s["n"])).when(same & (s["left"] > 0), found).otherwise(s)
 
-    return let(F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT), of)
+    matched = F.aggregate(both, state(F.lit(0).cast("long"), F.lit(0), F.lit(0)), step, lambda s: s["n"])
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2 * matched / total)
 
 
 def _with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, text, sketch, next_text, next_sketch): each row with the one after it by id, the last with the first.
+    """(doc_id, text, prints, next_text, next_places): each row with the one after it by id, the last with the first.
 
     Ids are cut into ranges at quantiles, which are ids that occur. The rows at the lower end of a range are also sent to the range
     before it, so each range finds all its successors by itself and the texts are shuffled once. Rows
@@ -90,10 +104,10 @@ def _with_next(docs: DataFrame, parts: int) -> DataFrame:
     at_edge = F.get(listed, F.col("part") - 1) == F.col("key")
     sent = F.when(at_edge & (F.col("part") == 1), F.array(own, copy(F.lit(last), 2))).when(at_edge, F.array(own, copy(F.col("part") - 1, 1))).otherwise(F.array(own))
     dealt = rows.select("doc_id", "text", "key", F.explode(sent).alias("c")).select("doc_id", "text", "key", F.col("c.part").alias("part"), F.col("c.late").alias("late")).repartition("part")
-    dealt = dealt.withColumn("sketch", sketch(F.col("text"))).withColumn("tie", F.xxhash64("text"))
+    dealt = dealt.withColumn("prints", prints(F.col("text"))).withColumn("tie", F.xxhash64("text"))
     order = W.partitionBy("part").orderBy("late", "key", "tie")
-    near = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
-    return near.where("late = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch")
+    near = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_places", F.lead("prints.places").over(order))
+    return near.where("late = 0").select("doc_id", "text", "prints", "next_text", "next_places")
 
 
 def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -111,6 +125,6 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    rows = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", printed(F.col("sketch")).alias("fingerprint"), printed(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    rows = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "prints", "next_places")
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "prints", "next_places", prints(F.col("edited")).alias("edited_prints"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "prints.fingerprint", F.col("edited_prints.fingerprint").alias("edited_fingerprint"), likeness(F.col("prints.places"), F.col("edited_prints.places")).alias("near_edited"), likeness(F.col("prints.places"), F.col("next_places")).alias("near_next"))

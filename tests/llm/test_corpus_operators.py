@@ -203,6 +203,25 @@ def test_syncmers(spark, docs, nothing):
     assert 100 < len(one) < 200 and rows[2]["a"] == [] and len(rows[3]["a"]) == 1
 
 
+def test_syncmers_match_a_passage_of_long_documents(spark):
+    from collections import Counter
+
+    from reprise.llm.syncmers import anchors, fingerprint_edits
+
+    r = random.Random(2)
+    prose = lambda n: " ".join(f"w{r.randrange(50_000)}" for _ in range(n))
+    passage = prose(300)
+    texts = [prose(9000) + " " + passage + " " + prose(9000), prose(4000) + " " + passage + " " + prose(15_000), "a b c d e f g " * 50, "a b c d e f g " * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [[(x["pos"], x["hash"]) for x in row["a"]] for row in df.orderBy("doc_id").select(anchors(F.col("text")).alias("a")).collect()]
+    links = [Counter((h, *((a[i + 1][1], a[i + 1][0] - p) if i + 1 < len(a) else ())) for i, (p, h) in enumerate(a)) for a in found]
+    got = {x["doc_id"]: x for x in fingerprint_edits(df, 2).collect()}
+    for i in range(4):
+        a, b = links[i], links[(i + 1) % 4]
+        assert got[i]["near_next"] == pytest.approx(2 * (a & b).total() / (a.total() + b.total()))
+    assert got[0]["near_next"] > 0.01 and 0.3 < got[2]["near_next"] < 0.9
+
+
 # ---- 4 repeats ---------------------------------------------------------------------------------------------------
 def _removed(texts):
     seen, out = {}, {}
