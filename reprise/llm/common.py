@@ -36,6 +36,11 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def row_keys() -> tuple[Column, Column]:
+    """Two 64-bit hashes that tell rows apart by doc_id and text, whether ids are null or shared; rows that repeat both have the same."""
+    return F.xxhash64(F.lit(1), "doc_id", "text"), F.xxhash64(F.lit(2), "doc_id", "text")
+
+
 def let(value: Column, body) -> Column:
     """`body(v)` with `value` computed once per row, also where lambdas inside `body` use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -10,13 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reprise.llm.common import row_keys
 from reprise.plans.components import connected_components
 from reprise.plans.lineage import cut
 
 #: Links reach this many differing bits: two segments of 32 bits, of which one differs by at most one bit.
 MAX_BITS = 3
-#: Candidates for near copies reach this many: four segments of 16 bits, of which one differs by at most one bit.
-NEAR_BITS = 7
+#: Segments of 32 bits that candidates for near copies are looked up by, one wildcard each; even.
+SEGMENTS = 6
+#: Candidates for near copies differ in at most so many of 64 further bits; texts that have nothing in common differ in about 32.
+SKETCH_BITS = 16
 #: Buckets of more fingerprints than this are not compared within; they are cut further.
 BUCKET = 2048
 
@@ -230,80 +233,78 @@ def _node(words: list[bytes]) -> int:
     return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), 42), "big", signed=True)
 
 
-def _candidates(similarity: float, chain: bool):
-    """Candidates inside buckets of rows (key, fp, node, n, component) that come sorted by key.
+def _bucket_mates(similar: int, chain: bool):
+    """Pairs inside buckets of rows (key, node, sketch, component) that come sorted by key and node, as (key, src, dst, sketch, component).
 
-    A pair is one where at most NEAR_BITS bits differ, the set sizes n allow the similarity and the components differ. Each leaves in
-    one of the buckets that it shares. With `chain`, only neighbours in a bucket are compared.
+    A pair is one whose sketches differ in at most `similar` bits and whose components differ; its key is null. With `chain`, only neighbours of a bucket
+    are paired, and the rows of buckets of three or more leave as they are too, since not all of their pairs were seen.
     """
-    def met(i, j, key, fp, node, n, comp):
-        keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+    names = ["key", "src", "dst", "sketch", "component"]
+    kinds = [pa.int64()] * 5
+
+    def met(i, j, rows):
+        _, node, sketch, comp = rows
+        keep = comp[i] != comp[j]
         i, j = i[keep], j[keep]
-        x = fp[i] ^ fp[j]
-        keep = _differing(fp[i], fp[j]) <= NEAR_BITS
-        i, j, x = i[keep], j[keep], x[keep]
-        parts = np.stack([(x >> np.uint64(16 * s)) & np.uint64(0xFFFF) for s in range(4)]) if len(x) else np.zeros((4, 0), np.uint64)
-        seg = np.argmax(_POPCOUNT[parts] <= 1, axis=0)
-        part = parts[seg, np.arange(len(x))]
-        place = np.where(part == 0, 16, np.log2(np.maximum(part, 1)).astype(np.int64))
-        keep = key[i] >> 16 == 17 * seg + place
-        return node[i[keep]], node[j[keep]]
+        keep = _differing(sketch[i], sketch[j]) <= similar
+        a, b = node[i[keep]], node[j[keep]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1]), *[pa.nulls(pairs.shape[1], pa.int64())] * 2], names)
 
     def whole(rows):
         key = rows[0]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[first, len(key)])
         end, size, at = np.repeat(first + sizes, sizes), np.repeat(sizes, sizes), np.arange(len(key))
-        for lag in range(1, 2 if chain else 65):
-            i = at[(at + lag < end) & (chain | (size <= 64))]
+        if chain:
+            i = at[at + 1 < end]
+            yield met(i, i + 1, rows)
+            rest = size >= 3
+            yield pa.RecordBatch.from_arrays([pa.array(key[rest]), pa.array(rows[1][rest]), pa.nulls(int(rest.sum()), pa.int64()), pa.array(rows[2][rest].view(np.int64)), pa.array(rows[3][rest])], names)
+            return
+        for lag in range(1, 65):
+            i = at[(at + lag < end) & (size <= 64)]
             if not len(i):
                 break
-            yield met(i, i + lag, *rows)
-        for f, m in zip(first[sizes > 64], sizes[sizes > 64]) if not chain else ():
-            step = max(1, (1 << 20) // int(m))
-            for start in range(f, f + m, step):
-                i, j = np.meshgrid(np.arange(start, min(start + step, f + m)), np.arange(start + 1, f + m), indexing="ij")
-                above = i < j
-                yield met(i[above], j[above], *rows)
+            yield met(i, i + lag, rows)
+        for f, m in zip(first[sizes > 64], sizes[sizes > 64]):
+            order = f + np.argsort(rows[3][f : f + m], kind="stable")  # those of one component stand together and are passed over
+            comp = rows[3][order]
+            stops = np.searchsorted(comp, comp, side="right")
+            for a, stop in enumerate(stops.tolist()):
+                if stop < m:
+                    yield met(np.full(m - stop, order[a]), order[stop:], rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows):
-            for a, b in whole(rows):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
-
         held = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, fp, *rest = [np.asarray(c) for c in batch.columns]
-            held.append([key, fp.view(np.uint64), *rest])
+            key, node, sketch, comp = [np.asarray(c) for c in batch.columns]
+            held.append([key, node, sketch.view(np.uint64), comp])
             if key[0] == key[-1] and held[0][0][0] == key[0]:
                 continue  # one bucket so far
             rows = [np.concatenate(c) for c in zip(*held)]
             stop = np.searchsorted(rows[0], rows[0][-1])
-            yield from out([c[:stop] for c in rows])
+            yield from (b for b in whole([c[:stop] for c in rows]) if b.num_rows)
             held = [[c[stop:] for c in rows]]
         if held:
-            yield from out([np.concatenate(c) for c in zip(*held)])
+            yield from (b for b in whole([np.concatenate(c) for c in zip(*held)]) if b.num_rows)
 
     return run
 
 
-def _near_pairs(nodes: DataFrame, draw: int, similarity: float, chain: bool = False) -> DataFrame:
-    """(src, dst) of `nodes` (node, n, fps, component) that meet by the one-wildcard variants of four segments of one SimHash."""
-    rows = nodes.select(F.col("fps")[draw].alias("fp"), "node", "n", "component", F.explode(F.sequence(F.lit(0), F.lit(67))).alias("k"))
-    held = "CAST(k * 65536L + (shiftrightunsigned(fp, 16 * CAST(floor(k / 17) AS INT)) & 65535L & ~shiftleft(1L, k % 17)) AS INT)"
-    dealt = rows.select(F.expr(held).alias("key"), "fp", "node", "n", "component").repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_candidates(similarity, chain), "src long, dst long")
+_MATES = "key long, src long, dst long, sketch long, component long"
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Those of `pairs` (src, dst) whose texts' sets of `size`-word shingles have a Jaccard of `similarity` or more."""
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_node(_words(t.as_py())) for t in batch.column(0)], pa.int64()), batch.column(0)], ["node", "text"])
+def _met(rows: DataFrame, chain: bool) -> DataFrame:
+    """What `_bucket_mates` finds in `rows` (key, node, sketch, component)."""
+    dealt = rows.select("key", "node", "sketch", "component").repartition("key").sortWithinPartitions("key", "node")
+    return cut(dealt.mapInArrow(_bucket_mates(SKETCH_BITS, chain), _MATES))
 
+
+def _verified(known: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Those of `pairs` (src, dst) whose texts' sets of `size`-word shingles have a Jaccard of `similarity` or more; `known` has (node, text)."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for batch in batches:
@@ -312,48 +313,72 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, size: int) -
                 if src.as_py() != last:
                     last, own = src.as_py(), _hashes(_words(a.as_py()), size)
                 other = _hashes(_words(b.as_py()), size)
-                both = len(np.intersect1d(own, other, assume_unique=True))
+                few, many = sorted((len(own), len(other)))
+                both = len(np.intersect1d(own, other, assume_unique=True)) if few >= similarity * many - 1e-9 else 0
                 keep.append(both >= similarity * (len(own) + len(other) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = cut(pairs.distinct())
-    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    known = docs.select("text").mapInArrow(texts, "node long, text string").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    known = cut(known)
     a, b = known.select(F.col("node").alias("src"), F.col("text").alias("a")), known.select(F.col("node").alias("dst"), F.col("text").alias("b"))
-    met = pairs.join(b, "dst").join(a, "src").select("src", "dst", "a", "b").sortWithinPartitions("src")
+    met = pairs.distinct().join(b, "dst").join(a, "src").select("src", "dst", "a", "b").sortWithinPartitions("src")
     return cut(met.mapInArrow(judge, "src long, dst long"))
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 2, draws: int = 3, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """(doc_id, component_id) of every row of `docs` (doc_id, text) whose id is not null.
+def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """(doc_id, h1, h2, component_id, stays) of every row of `docs` (doc_id, text); h1 and h2 are `row_keys`.
+
+    Two texts are linked if the Jaccard of their sets of `size`-word shingles is at least `similarity`, which is computed for every candidate;
+    component_id is the least doc_id that links reach (null where a group has rows without id alone). stays is true for one (doc_id, text)
+    of each group: the least by id, null last, then by hash; rows that repeat it are marked alike.
+
+    Candidates share a one-wildcard variant of one of SEGMENTS 32-bit segments of a SimHash of the set of words, so a segment of the two differs by
+    one bit at most, and differ in at most SKETCH_BITS of 64 further bits. Variants meet by an equality shuffle. A first round pairs neighbours within a bucket, so
+    that a large group of near copies leaves few pairs for the second, which takes all pairs of a bucket that are not yet in one component.
 
-    Two texts are linked if the Jaccard of their sets of `size`-word shingles is at least `similarity`, which is computed for every
-    candidate; component_id is the least doc_id that links reach. Candidates differ by at most NEAR_BITS bits in any of `draws` independent
-    SimHashes of the sets of `shingle`-word shingles. A first round links neighbours within buckets, so that a large group of
-    near copies leaves few pairs for the second, which compares all that is not yet in one component.
+    Texts of the same words are one node. Null and blank texts are copies of each other; texts of fewer than `size` words are linked to
+    copies only. Ids may be null or shared: rows are told apart by id and text. No rows give no rows; only `doc_id` and `text` are read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [_words(t.as_py()) for t in batch.column(1)]
-            columns = [pa.array([_node(w) for w in words], pa.int64()), pa.array([len(_hashes(w, size)) for w in words], pa.int32()), pa.array([word_fingerprints(w, shingle, draws) for w in words], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "n", "fps"])
+            words = [_words(t.as_py()) for t in batch.column(3)]
+            found = [pa.array([_node(w) for w in words], pa.int64()), pa.array([word_fingerprints(w, 1, 1 + SEGMENTS // 2) for w in words], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *found], ["doc_id", "h1", "h2", "node", "fps"])
 
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    one, two = row_keys()
+    rows = docs.select("doc_id", one.alias("h1"), two.alias("h2"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = cut(docs.mapInArrow(run, f"doc_id {kind}, node long, n int, fps array<long>"))
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fps").alias("fps"))
-    nodes = cut(nodes)
-    alone = nodes.withColumn("component", F.col("node"))
-    close = _verified(docs, _near_pairs(alone, 0, similarity, chain=True), similarity, size)
+    signed = cut(rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, node long, fps array<long>"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    nodes = cut(signed.groupBy("node").agg(F.min(first).alias("rep"), F.first("fps").alias("fps")))
+    variants = nodes.select("node", "fps", F.explode(F.sequence(F.lit(0), F.lit(32 * SEGMENTS - 1))).alias("k"))
+    held = f"(CAST(k AS LONG) << 32) | (shiftrightunsigned(get(fps, CAST(k DIV 64 AS INT)), 32 * CAST(k DIV 32 % 2 AS INT)) & 4294967295L & ~shiftleft(1L, CAST(k % 32 AS INT)))"
+    rows_ = variants.select(F.expr(held).alias("key"), "node", F.expr(f"get(fps, {SEGMENTS // 2})").alias("sketch"), F.col("node").alias("component"))
+    step = _met(rows_, chain=True)
+    pairs, rest = step.where("key IS NULL").select("src", "dst"), step.where("key IS NOT NULL").select("key", F.col("src").alias("node"), "sketch")
+    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(rest.select("node")).distinct()
+    wanted = nodes.join(ends, "node").select("node", F.col("rep.h1").alias("k1"), F.col("rep.h2").alias("k2"))
+    texts = docs.select("text", one.alias("k1"), two.alias("k2"))
+    known = cut(texts.join(wanted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]))
+    close = _verified(known, pairs, similarity, size)
     parts = connected_components(close).withColumnRenamed("id", "node")
-    joined = cut(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    pairs = None
-    for d in range(draws):
-        step = cut(_near_pairs(joined, d, similarity))
-        pairs = step if pairs is None else pairs.union(step)
-    edges = close.union(_verified(docs, pairs, similarity, size))
+    placed = rest.join(parts, "node", "left").select("key", "node", "sketch", F.coalesce("component", "node").alias("component"))
+    more = _met(placed, chain=False).select("src", "dst")
+    edges = close.union(_verified(known, more, similarity, size))
     parts = connected_components(edges).withColumnRenamed("id", "node")
     placed = nodes.join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return signed.join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    least = placed.groupBy("root").agg(F.min("rep").alias("least"))
+    known = placed.join(least, "root").select("node", "least")
+    stays = (F.col("h1") == F.col("least.h1")) & (F.col("h2") == F.col("least.h2"))
+    return signed.join(known, "node").select("doc_id", "h1", "h2", F.col("least.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """One row of each group of `near_duplicate_groups`, with all columns of `docs`.
+
+    Of rows that repeat an id and a text one stays, the least by all its columns. See `near_duplicate_groups` for the defined cases.
+    """
+    one, two = row_keys()
+    stays = near_duplicate_groups(docs, similarity, size).where("stays").groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(F.count("*").alias("copies"))
+    rows = docs.select(one.alias("k1"), two.alias("k2"), F.struct(*docs.columns).alias("row")).join(stays, ["k1", "k2"])
+    alone = rows.where("copies = 1").select("row")
+    again = rows.where("copies > 1").withColumn("h", F.xxhash64("row")).groupBy("k1", "k2").agg(F.min_by("row", "h").alias("row")).select("row")
+    return alone.union(again).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -160,6 +160,23 @@ def test_near_duplicates_of_a_large_group(spark, nothing):
     assert near_duplicate_groups(nothing).count() == 0
 
 
+def test_near_duplicates_of_shared_and_null_ids(spark, docs, nothing):
+    from reprise.llm.simhash import drop_near_duplicates, near_duplicate_groups
+
+    r = random.Random(12)
+    one, two, three = (" ".join(f"w{r.randrange(3000)}" for _ in range(80)) for _ in range(3))
+    rows = [(7, one), (7, two), (7, three), (None, one + " more"), (None, "alone " * 9), (None, "alone " * 9), (9, two), (9, two), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key long").repartition(3)
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str)
+    assert got == sorted([(7, one), (7, two), (7, three), (None, "alone " * 9), (3, None)], key=str)
+    assert drop_near_duplicates(df.where("doc_id = 9")).count() == 1
+    assert near_duplicate_groups(df).where("component_id IS NULL").count() == 2
+    assert drop_near_duplicates(nothing).count() == 0
+    assert drop_near_duplicates(docs).columns == docs.columns
+
+
 # ---- 2 languages -------------------------------------------------------------------------------------------------
 def test_languages(spark, nothing):
     from reprise.llm.langid import fit_languages, identify_languages
