@@ -12,7 +12,7 @@ from reprise.llm.common import table
 from reprise.llm.decontam import decontaminate, small
 from reprise.llm.mixing import mix_sources
 from reprise.llm.repeats import remove_repeats
-from reprise.llm.simhash import near_duplicate_groups
+from reprise.llm.simhash import drop_near_duplicates
 from reprise.llm.toxicity import drop_toxic, fit_toxicity
 from reprise.plans.lineage import ensure_checkpoint_dir
 
@@ -23,11 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: that of the least doc_id. Rows without an id stay; of rows that share one, one stays."""
-    groups = near_duplicate_groups(docs)
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    """One document of each group of near-copies: that of the least doc_id, null last. Rows are told apart by id and text, not by id alone."""
+    return drop_near_duplicates(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
