@@ -2,109 +2,96 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reprise.llm.common import alnum_words
+from reprise.llm.common import alnum_words, let
+from reprise.llm.positional import agreeing, document_frequencies, small, stands, with_candidates
 from reprise.plans.lineage import cut
 
-#: A broadcast side may have this many rows; beyond that the same join shuffles.
-BROADCAST_ROWS = 200_000
-#: Stands behind a document's last word, so that one posting gives its length. No word contains a blank.
-END = " end "
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, marked for broadcast where it has at most `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def with_end(grouped: DataFrame, column: str) -> DataFrame:
-    """`grouped` (term, column) and a row of null for the end mark."""
-    mark = grouped.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(None).cast(grouped.schema[column].dataType).alias(column))
-    return grouped.union(mark)
-
-
-def document_frequencies(docs: DataFrame, terms: DataFrame, words: Column) -> DataFrame:
-    """(term, df): in how many rows of `docs` each of `terms` (term) occurs, over all rows; 0 where in none."""
-    seen = docs.select(F.explode(F.array_distinct(words)).alias("term")).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-    return terms.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("df"))
-
 
 def benchmark_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """(item_id, words, start, len): the windows of each item of `benchmark` (item_id, text).
+    """(unit, item_id, start, t): the windows of each distinct item of `benchmark` (item_id, text); t holds the words.
 
     A window is `window` consecutive words; an item of fewer words, but not none, is one window. Null texts have none.
     """
-    items = benchmark.select("item_id", alnum_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select("item_id", alnum_words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     n = F.size("words")
-    return items.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start"), F.least(n, F.lit(window)).alias("len"))
+    rows = items.select(F.xxhash64("item_id", "words").alias("unit"), "item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start"))
+    return rows.select("unit", "item_id", "start", F.slice("words", F.col("start") + 1, window).alias("t"))
 
 
-def rare_anchors(windows: DataFrame, frequencies: DataFrame, terms: int = 2) -> DataFrame:
-    """`windows` with `anchors`: the places in the item of the window's `terms` rarest words, rarest first.
+def rare_anchors(windows: DataFrame, frequencies: DataFrame, terms: int = 3) -> DataFrame:
+    """`windows` with `anchors`: the item's places of each window's `terms` rarest words, rarest first; ties go to the earlier place."""
+    places = windows.select("unit", "start", F.posexplode("t").alias("off", "term")).join(small(frequencies), "term")
+    ranked = places.groupBy("unit", "start").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "off"))), 1, terms).alias("r"))
+    return windows.join(ranked, ["unit", "start"]).withColumn("anchors", F.transform("r", lambda x: F.col("start") + x["off"])).drop("r")
 
-    Ties go to the earlier place.
-    """
-    windows = windows.withColumn("wid", F.xxhash64(F.to_json(F.struct("item_id")), "words", "start"))
-    places = windows.select("wid", "start", F.posexplode(F.slice("words", F.col("start") + 1, F.col("len"))).alias("off", "term"))
-    ranked = places.join(frequencies, "term").withColumn("r", F.row_number().over(W.partitionBy("wid").orderBy("df", "off"))).where(F.col("r") <= terms)
-    picked = ranked.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("r", (F.col("start") + F.col("off")).alias("j")))).alias("p"))
-    return windows.dropDuplicates(["wid"]).join(picked, "wid").select("item_id", "words", "start", "len", F.transform("p", lambda x: x["j"]).alias("anchors"))
+
+def _verified(found: Column, ws: Column, window: int, slop: int, least: int) -> Column:
+    """struct<n_words, hits, near> of a row's words: which of its candidates hold."""
+    place = lambda c: c["shift"] + c["start"]
+    hit = lambda c: [c["item_id"].alias("item_id"), place(c).alias("doc_start"), c["start"].alias("item_start"), F.size(c["t"]).alias("len")]
+    exact = F.filter(found, lambda c: stands(ws, place(c), c["t"]))
+    beside = lambda c, w, i: reduce(or_, [F.get(ws, (place(c) + i + d).cast("int")).eqNullSafe(w) for d in range(-slop, slop + 1)])
+    matched = lambda c: F.size(F.filter(c["t"], lambda w, i: beside(c, w, i)))
+    rest = F.filter(found, lambda c: (F.size(c["t"]) == window) & ~stands(ws, place(c), c["t"]))
+    near = F.filter(F.transform(rest, lambda c: F.struct(*hit(c), matched(c).alias("matched"))), lambda h: h["matched"] >= least)
+    return F.struct(F.size(ws).cast("long").alias("n_words"), F.transform(exact, lambda c: F.struct(*hit(c))).alias("hits"), near.alias("near"))
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """(doc_id, n_words, hits): hits lists (item_id, doc_start, item_start, len) for each window of `benchmark` in a document.
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2, least: int = 8) -> DataFrame:
+    """(row, n_words, hits, near) for every row of `docs` (doc_id, text and any others): the benchmark's windows in it.
 
-    One scan counts the document frequency of every benchmark word over all documents. Each window is then looked up by its
-    two rarest words only: a second scan stores postings (document, position, neighbourhood) of those words,
-    joins them to the places in the items where they anchor a window, and shifts each to the place where the item
-    would begin. Shifted lists of one document and item meet by an equality shuffle, a window is a candidate where both its anchors
-    stand at one shift, and the words around the rarest one confirm it.
+    row is the whole input row. hits lists (item_id, doc_start, item_start, len) of each place where all words of a window stand
+    consecutively. near lists, with `matched`, the places where a whole window does not, but `least` or more of its words stand within `slop` words of
+    where they would: passages in which words were inserted, dropped or changed. doc_start of a near hit is where its rarest word puts it.
 
-    Null texts have no words and no hits; rows that repeat are judged once per distinct (doc_id, text). Frequent words
-    are never looked up, unless a window has no rarer ones.
+    One scan counts the document frequency of every benchmark word over all documents. Each window is looked up by its three rarest words: a second
+    scan makes postings of those (row, position), shifts each to the place where its item would begin, and keeps the windows of which two or more
+    stand at one shift, give or take `slop`. In a third scan the remaining words of these candidates are looked for at their places in
+    the row. So no list of a frequent word is made, unless a window has no rarer ones, and no text is shuffled while the
+    candidates are few enough to be broadcast.
+
+    Null texts have no words and no hits; rows that repeat are judged each. Items that repeat count once; items without words are
+    never found. Frequencies, postings and verification cover whole texts.
     """
-    windows = cut(benchmark_windows(benchmark.select("item_id", "text").distinct(), window))
-    vocabulary = windows.select(F.explode("words").alias("term")).distinct()
-    words = alnum_words(F.col("text"))
-    frequencies = cut(document_frequencies(docs, vocabulary, words))
-    anchored = cut(rare_anchors(windows, frequencies))
-    first = F.element_at("anchors", 1)
-    lookups = anchored.select("item_id", F.explode("anchors").alias("j"), "words").select("item_id", "j", F.element_at("words", F.col("j") + 1).alias("term")).distinct()
-    grouped = lookups.groupBy("term").agg(F.collect_set(F.struct("item_id", "j")).alias("places"))
-    grouped = with_end(grouped, "places")
-
-    # Postings of the looked-up words, with the neighbourhood that confirms a window. The end mark gives n_words.
-    reach = window - 1
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("h"), F.array_append(words, END).alias("ws"))
-    postings = tokens.select("doc_id", "h", "ws", F.posexplode("ws").alias("pos", "term")).join(small(grouped), "term")
-    left = F.least(F.col("pos"), F.lit(reach))
-    postings = postings.select("doc_id", "h", "pos", "places", F.when(F.col("places").isNotNull(), F.slice("ws", F.col("pos") - left + 1, left + 1 + reach)).alias("near"), left.alias("left"))
-    shifted = postings.select("doc_id", "h", "pos", "near", "left", F.explode_outer("places").alias("p"))
-    shifted = shifted.select("doc_id", "h", F.col("p.item_id").alias("item_id"), F.col("p.j").alias("j"), "pos", "near", "left", (F.col("pos") - F.col("p.j")).alias("shift"))
-    keys = ["doc_id", "h", "item_id", "shift"]
-    lists = shifted.groupBy(*keys).agg(F.collect_set("j").alias("js"), F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", "pos", "near", "left"))).alias("at"), F.max("pos").alias("last"))
-
-    # A window is confirmed on the neighbourhood of its rarest anchor, where both anchors stand at one shift.
-    known = anchored.groupBy("item_id").agg(F.collect_list(F.struct("start", "len", "anchors", F.slice("words", F.col("start") + 1, F.col("len")).alias("text"), first.alias("first"))).alias("wins"))
-    met = lists.join(small(known, 5000), "item_id", "left")
-    fits = F.filter("wins", lambda w: F.forall(w["anchors"], lambda a: F.array_contains("js", a)))
-    fits = F.filter(fits, lambda w: F.exists("at", lambda p: (p["j"] == w["first"]) & (F.slice(p["near"], F.greatest(p["left"] - (p["j"] - w["start"]) + 1, F.lit(1)), w["len"]) == w["text"]) & (p["left"] >= p["j"] - w["start"])))
-    hits = F.transform(fits, lambda w: F.struct(F.col("item_id").alias("item_id"), (F.col("shift") + w["start"]).alias("doc_start"), w["start"].alias("item_start"), w["len"].alias("len")))
-    found = met.select("doc_id", "h", F.when(F.col("item_id").isNull(), F.col("last")).alias("n"), F.coalesce(hits, F.array()).alias("hits"))
-    return found.groupBy("doc_id", "h").agg(F.max("n").cast("long").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """(doc_id, h, n_words, n_hit, items, spans) for each distinct (doc_id, text) of `docs`; h is the text's hash.
-
-    n_hit counts the words inside any occurrence of a window; items are the item_ids that occur, as strings in order; spans are
-    the (start, len) of the occurrences. See `find_passages` for the method and the defined cases.
+    windows = cut(benchmark_windows(benchmark, window))
+    frequencies = cut(document_frequencies(docs, cut(windows.select(F.explode("t").alias("term")).distinct())))
+    terms = cut(rare_anchors(windows, frequencies).withColumn("k", F.explode("anchors")))
+    lookups = cut(terms.select(F.element_at("t", F.col("k") - F.col("start") + 1).alias("term"), "unit", "k").distinct())
+    found = agreeing(docs, lookups, slop)
+    met = found.join(small(terms), ["unit", "k"]).withColumn("present", F.filter("anchors", lambda a: F.array_contains("near", a)))
+    met = met.where((F.size("present") >= F.least(F.lit(2), F.size("anchors"))) & (F.element_at("present", 1) == F.col("k")))
+    candidate = F.struct("item_id", "start", "shift", "t")
+    candidates = cut(met.groupBy("h1", "h2").agg(F.collect_set(candidate).alias("found")))
+    none = F.array().cast(candidates.schema["found"].dataType)
+    rows = with_candidates(docs, candidates).select("row", let(alnum_words(F.col("body")), lambda ws: _verified(F.coalesce("found", none), ws, window, slop, least)).alias("v"))
+    return rows.select("row", "v.n_words", "v.hits", "v.near")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2, least: int = 8) -> DataFrame:
+    """(row, n_words, n_hit, items, spans, near) for every row of `docs`.
+
+    n_hit counts the words inside any occurrence of a window; items are the item_ids that occur, as strings in order (a null id is not
+    listed); spans are the (start, len) of the occurrences; near are the proximity matches, which n_hit and items leave
+    out. See `find_passages` for the method and the defined cases.
     """
-    found = find_passages(docs, benchmark, window)
+    found = find_passages(docs, benchmark, window, slop, least)
     spans = F.array_distinct(F.transform("hits", lambda x: F.struct(x["doc_start"].alias("start"), x["len"].alias("len"))))
-    rows = found.select("doc_id", "h", "n_words", spans.alias("spans"), F.sort_array(F.array_distinct(F.transform("hits", lambda x: x["item_id"].cast("string")))).alias("items"))
+    items = F.sort_array(F.array_distinct(F.array_compact(F.transform("hits", lambda x: x["item_id"].cast("string")))))
+    rows = found.select("row", "n_words", spans.alias("spans"), items.alias("items"), "near")
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
-    return rows.select("doc_id", "h", "n_words", covered.cast("long").alias("n_hit"), "items", "spans")
+    return rows.select("row", "n_words", covered.cast("long").alias("n_hit"), "items", "spans", "near")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of `docs`, with all their columns, in which no window of `benchmark` occurs word by word.
+
+    Null and blank texts stay, as do rows with near hits only; without benchmark items all rows stay.
+    """
+    clean = find_passages(docs, benchmark, window).where(F.size("hits") == 0)
+    return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

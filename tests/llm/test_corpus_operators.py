@@ -419,7 +419,7 @@ def _alnum(t):
 
 
 def test_decontamination(spark, docs, nothing):
-    from reprise.llm.decontam import decontaminate, find_passages
+    from reprise.llm.decontam import decontaminate, drop_contaminated, find_passages
 
     texts = dict(_texts())
     passage = texts[11].split(" ", 1)[1].rsplit(" ", 1)[0]
@@ -437,14 +437,39 @@ def test_decontamination(spark, docs, nothing):
                         hit |= set(range(p, p + n))
                         found.add(str(k))
         want[i] = (len(w), len(hit), sorted(found))
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate(docs, bench).collect()}
+    got = {r["row"]["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate(docs, bench).collect()}
     assert got == want
+    assert decontaminate(docs.union(docs), bench).where("n_hit > 0").count() == 2 * sum(v[1] > 0 for v in want.values())
+    kept = drop_contaminated(docs.union(docs), bench)
+    assert kept.columns == docs.columns and kept.count() == 2 * sum(v[1] == 0 for v in want.values())
     assert decontaminate(nothing, bench).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, none).where("n_hit > 0").count() == 0 and decontaminate(docs, none).count() == len(texts)
     assert find_passages(docs, bench).where("size(hits) > 0").count() == sum(v[1] > 0 for v in want.values())
 
 
+def test_proximity_matches(spark):
+    from reprise.llm.decontam import find_passages
+
+    r = random.Random(3)
+    noise = lambda n: [f"n{r.randrange(9999)}" for _ in range(n)]
+    item = [f"b{i}" for i in range(40)]
+    changed = [f"x{i}" if i % 8 == 7 else w for i, w in enumerate(item)]
+    dropped = [w for i, w in enumerate(item) if i % 8 != 7]
+    longer = [x for i, w in enumerate(item) for x in ([w, f"y{i}"] if i % 8 == 7 else [w])]
+    texts = [noise(50) + edit + noise(50) for edit in (changed, dropped, longer)] + [noise(200), item[:4] + noise(6), list(reversed(item)), noise(3) + item]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {x["row"]["doc_id"]: x for x in find_passages(docs, bench).collect()}
+    assert all(not got[i]["hits"] and got[i]["near"] for i in range(3))
+    assert all(not got[i]["hits"] and not got[i]["near"] for i in (3, 4, 5))
+    assert len(got[6]["hits"]) == 31 and not got[6]["near"]
+    for i in range(3):  # brute force over the windows that the hits name
+        for h in got[i]["near"]:
+            window = item[h["item_start"] : h["item_start"] + 10]
+            assert h["matched"] == sum(w in texts[i][max(0, h["doc_start"] + k - 2) : max(0, h["doc_start"] + k + 3)] for k, w in enumerate(window)) >= 8
+
+
 def test_licenses(docs, nothing):
     from reprise.llm.license import TEMPLATES, scan_licenses
 
