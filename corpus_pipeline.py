@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reprise.llm.common import table
-from reprise.llm.decontam import decontaminate, small
+from reprise.llm.decontam import drop_contaminated
 from reprise.llm.mixing import mix_sources
 from reprise.llm.repeats import remove_repeats
 from reprise.llm.simhash import drop_near_duplicates
@@ -36,9 +36,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs."""
-    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = small(found.where("n_hit > 0").select(F.col("doc_id").alias("d"), "h"))
-    return docs.join(hit, docs.doc_id.eqNullSafe(hit.d) & (F.xxhash64("text") == hit.h), "left_anti")
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
