@@ -2,70 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reprise.llm.common import alnum_words
-from reprise.llm.decontam import END, document_frequencies, small, with_end
+from reprise.llm.common import alnum_words, let
+from reprise.llm.licensetexts import BASE, MENTIONS, SPDX, TEXTS
+from reprise.llm.positional import agreeing, document_frequencies, small, stands, with_candidates
 from reprise.plans.lineage import cut
 
-#: (label, words of the template, mandatory key phrase within it). The opening words of public licence
-#: texts and the notices by which files refer to them. base marks the phrases of the plain scan.
-TEMPLATES = [
-    ("mit", "mit license", "mit license", True),
-    ("apache", "apache license", "apache license", True),
-    ("gpl", "general public license", "general public license", True),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0", False),
-    ("gpl-2.0", "gnu general public license version 2", "general public license version 2", False),
-    ("gpl-3.0", "gnu general public license version 3", "general public license version 3", False),
-    ("lgpl", "gnu lesser general public license", "lesser general public license", False),
-    ("agpl", "gnu affero general public license", "affero general public license", False),
-    ("mpl-2.0", "mozilla public license version 2 0", "mozilla public license", False),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge", False),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms", False),
-    ("bsd-notice", "bsd license", "bsd license", False),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute", False),
-    ("cc-by", "creative commons attribution", "creative commons attribution", False),
-    ("cc0", "cc0 1 0 universal", "cc0 1 0 universal", False),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software", False),
-    ("epl", "eclipse public license", "eclipse public license", False),
-]
-_SCHEMA = "label string, words string, phrase string, base boolean"
-
-
-def scan_licenses(docs: DataFrame, templates: list[tuple] = TEMPLATES, rare: int = 3) -> DataFrame:
-    """(doc_id, h, n_words, matches) for each distinct (doc_id, text) of `docs`; h is the text's hash.
-
-    matches lists (label, base, start, score): every place where a template's mandatory key phrase stands word by word. start is the
-    phrase's first word; score is the share of the template's words that stand at their places around it.
-
-    One scan counts the document frequencies of all template words over all documents. A second stores, for each file, postings of
-    template words with their neighbourhood: a template is looked up by the word of its key phrase
-    that is rarest in the corpus, which is where its posting list is shortest. The postings are placed relative to the template,
-    the `rare` rarest words of the template must meet at one place as far as they belong to the key phrase, and the
-    phrase is verified on the neighbourhood. Null and empty texts have no words and no matches.
+
+def _words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
+def templates() -> list[tuple[str, list[str], list[str], bool]]:
+    """(label, words, key phrase, base) of every template: texts, mentions, SPDX headers and the base phrases."""
+    known = [(label, _words(text), _words(phrase), False) for label, text, phrase in TEXTS]
+    known += [(label, _words(p), _words(p), False) for label, p in MENTIONS]
+    known += [(f"spdx:{i}", _words(f"SPDX-License-Identifier: {i}"), _words(f"SPDX-License-Identifier: {i}"), False) for i in SPDX]
+    return known + [(label, _words(p), _words(p), True) for label, p in BASE]
+
+
+def _indexed(known: list[tuple], df: dict[str, int], rare: int) -> list[tuple[int, list[int], int, int]]:
+    """(template, places, anchor, offset): the places of a template's `rare` rarest words and of the anchor, the rarest word of its key phrase.
+
+    A word counts at its first place in the text, ties go to the earlier place; offset is where the key phrase begins.
     """
-    spark = docs.sparkSession
-    known = spark.createDataFrame(templates, _SCHEMA).select("label", "base", F.split("words", " ").alias("t"), F.split("phrase", " ").alias("p"))
-    offset = F.expr("filter(sequence(0, size(t) - size(p)), i -> slice(t, i + 1, size(p)) = p)[0]")
-    known = known.withColumn("o", offset)
-    words = alnum_words(F.col("text"))
-    terms = known.select(F.explode("t").alias("term")).distinct()
-    frequencies = cut(document_frequencies(docs, terms, words))
-    places = known.select("label", "base", "t", "p", "o", F.posexplode("p").alias("i", "term")).join(frequencies, "term")
-    ranked = places.groupBy("label", "base", "t", "p", "o").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "i", "term"))), 1, rare).alias("r"))
-    lookups = cut(ranked.select(F.expr("r[0].term").alias("term"), F.struct("label", "base", "t", "p", "o", F.expr("r[0].i").alias("i"), F.expr("transform(r, x -> struct(x.i AS i, x.term AS term))").alias("need")).alias("m")))
-    grouped = lookups.groupBy("term").agg(F.collect_list("m").alias("ms"))
-    grouped = with_end(grouped, "ms")
-    reach = max(len(t[1].split()) for t in templates)
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("h"), F.array_append(words, END).alias("ws"))
-    postings = tokens.select("doc_id", "h", "ws", F.posexplode("ws").alias("pos", "term")).join(small(grouped), "term")
-    left = F.least(F.col("pos"), F.lit(reach))
-    near = F.when(F.col("ms").isNotNull(), F.slice("ws", F.col("pos") - left + 1, left + 1 + reach))
-    postings = postings.select("doc_id", "h", "pos", "ms", near.alias("near"), left.alias("left"))
-    # In the neighbourhood the posting stands at `left`; a template's word k stands at left - (o + i) + k.
-    meets = F.filter("ms", lambda m: (F.col("left") >= m["i"]) & F.forall(m["need"], lambda n: F.get("near", F.col("left") - m["i"] + n["i"]) == n["term"]) & (F.slice("near", F.greatest(F.col("left") - m["i"] + 1, F.lit(1)), F.size(m["p"])) == m["p"]))
-    share = lambda m: F.size(F.filter(F.sequence(F.lit(0), F.size(m["t"]) - 1), lambda k: F.coalesce(F.get("near", F.when(F.col("left") - m["o"] - m["i"] + k >= 0, F.col("left") - m["o"] - m["i"] + k)) == F.get(m["t"], k), F.lit(False)))) / F.size(m["t"])
-    found = F.transform(meets, lambda m: F.struct(m["label"].alias("label"), m["base"].alias("base"), (F.col("pos") - m["i"]).alias("start"), share(m).alias("score")))
-    rows = postings.select("doc_id", "h", F.when(F.col("ms").isNull(), F.col("pos")).alias("n"), F.coalesce(found, F.array()).alias("f"))
-    return rows.groupBy("doc_id", "h").agg(F.max("n").cast("long").alias("n_words"), F.flatten(F.collect_list("f")).alias("matches"))
+    out = []
+    for unit, (_, words, phrase, _) in enumerate(known):
+        offset = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+        firsts = [i for i, w in enumerate(words) if w not in words[:i]]
+        anchor = min(range(offset, offset + len(phrase)), key=lambda i: (df[words[i]], i))
+        places = sorted(firsts, key=lambda i: (df[words[i]], i))[:rare]
+        out.append((unit, sorted({*places, anchor}), anchor, offset))
+    return out
+
+
+def scan_licenses(docs: DataFrame, known: list[tuple] | None = None, rare: int = 8, looked_up: int = 64, reach: int = 8, least: float = 0.5) -> DataFrame:
+    """(row, n_words, matches) for every row of `docs` (doc_id, text and any others); row is the whole input row.
+
+    matches lists (label, base, start, score): the places where a template's mandatory key phrase stands word by word and at least
+    `least` of its indexed words stand within `reach` words of their places relative to it; base templates need the phrase alone. start is
+    the phrase's first word, score that share. `known` lists templates as `templates` does.
+
+    One scan counts the document frequencies of all template words over all documents. Of each template its `rare` words of highest IDF and the rarest
+    word of its key phrase are indexed with their places. Each row looks up the indexed words of highest IDF that it has, `looked_up` of them, and
+    all key words: its postings of these, shifted by the places in the templates, are intersected by relative position. Where a key word
+    agrees with enough others, the phrase is verified on the row's words. The index holds a few words for each template, so it is
+    made on the driver and broadcast.
+
+    Null and empty texts have no words and no matches; rows that repeat are judged each; no rows give no rows.
+    """
+    spark, known = docs.sparkSession, templates() if known is None else known
+    terms = cut(spark.createDataFrame(sorted({(w,) for _, words, _, _ in known for w in words}), "term string"))
+    df = {r["term"]: r["df"] for r in document_frequencies(docs, terms).collect()}
+    index = _indexed(known, df, rare)
+    lookups = cut(spark.createDataFrame([(known[u][1][k], u, k) for u, places, _, _ in index for k in places], "term string, unit int, k int"))
+    by_idf = sorted({known[u][1][k] for u, places, _, _ in index for k in places}, key=lambda w: (df[w], w))
+    keys = sorted({known[u][1][a] for u, _, a, _ in index})
+    listed = lambda ws: F.array(*[F.lit(w) for w in ws])
+    wanted = lambda ws: F.array_union(F.slice(F.array_intersect(listed(by_idf), ws), 1, looked_up), F.array_intersect(listed(keys), ws))
+    found = agreeing(docs, lookups, reach, wanted)
+    facts = [(u, a, label, base, phrase, offset, len(places)) for (u, places, a, offset), (label, _, phrase, base) in zip(index, known)]
+    units = cut(spark.createDataFrame(facts, "unit int, k int, label string, base boolean, p array<string>, o int, n int"))
+    met = found.join(small(units), ["unit", "k"]).withColumn("score", F.size("near") / F.col("n")).where(F.col("base") | (F.col("score") >= least))
+    candidate = F.struct("label", "base", (F.col("shift") + F.col("o")).alias("start"), "score", "p")
+    candidates = cut(met.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(candidate)).alias("found")))
+    none = F.array().cast(candidates.schema["found"].dataType)
+
+    def verified(ws: Column) -> Column:
+        fits = F.filter(F.coalesce("found", none), lambda c: stands(ws, c["start"], c["p"]))
+        match = F.transform(fits, lambda c: F.struct(c["label"].alias("label"), c["base"].alias("base"), c["start"].alias("start"), c["score"].alias("score")))
+        return F.struct(F.size(ws).cast("long").alias("n_words"), match.alias("matches"))
+
+    rows = with_candidates(docs, candidates).select("row", let(alnum_words(F.col("body")), verified).alias("v"))
+    return rows.select("row", "v.n_words", "v.matches")

@@ -135,26 +135,34 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, lambda m: m["label"]))), ",")
     starts = F.transform(base, lambda m: m["start"])
     score = F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0))
-    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), names(base).alias("base_labels"), names(F.col("matches")).alias("labels"), score.alias("score"))
+    return found.select("row.doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), names(base).alias("base_labels"), names(F.col("matches")).alias("labels"), score.alias("score"))
 
 
 def _op10_sql() -> str:
-    from reprise.llm.license import TEMPLATES
+    from reprise.llm.license import templates
 
-    rows = ", ".join(f"('{label}', '{words}', '{phrase}', {base})" for label, words, phrase, base in TEMPLATES)
+    rows = ", ".join(f"({u}, '{label}', '{' '.join(words)}', '{' '.join(phrase)}', {base})" for u, (label, words, phrase, base) in enumerate(templates()))
     return rf"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-k AS (SELECT label, base, string_split(words, ' ') AS t, string_split(phrase, ' ') AS p FROM (VALUES {rows}) AS v(label, words, phrase, base)),
-o AS (SELECT label, base, t, p, list_filter(range(0, len(t) - len(p) + 1), lambda i: t[i + 1 : i + len(p)] = p)[1] AS o FROM k),
-f AS (
-  SELECT doc_id, label, base, s - 1 AS start,
-         len(list_filter(range(0, len(t)), lambda i: s - o + i >= 1 AND w[s - o + i] = t[i + 1])) / len(t) AS share
-  FROM d, o, unnest(range(1, len(w) - len(p) + 2)) AS u(s) WHERE list_contains(w, p[1]) AND w[s] = p[1] AND w[s : s + len(p) - 1] = p),
-b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f WHERE base GROUP BY doc_id),
-a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY doc_id)
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT u, label, base, string_split(words, ' ') AS t, string_split(phrase, ' ') AS p FROM (VALUES {rows}) AS v(u, label, words, phrase, base)),
+o AS (SELECT u, label, base, t, p, list_filter(range(0, len(t) - len(p) + 1), lambda i: t[i + 1 : i + len(p)] = p)[1] AS o FROM k),
+terms AS (SELECT DISTINCT unnest(t) AS term FROM k),
+f AS (SELECT term, count(r) AS df FROM terms LEFT JOIN (SELECT DISTINCT r, unnest(w) AS term FROM d) USING (term) GROUP BY term),
+pl AS (SELECT u, o, len(p) AS np, i AS k, t[i + 1] AS term, i = list_position(t, t[i + 1]) - 1 AS first FROM o, unnest(range(0, len(t))) AS x(i)),
+rk AS (SELECT pl.*, df, row_number() OVER (PARTITION BY u, first ORDER BY df, k) AS a, row_number() OVER (PARTITION BY u, k >= o AND k < o + np ORDER BY df, k) AS b FROM pl JOIN f USING (term)),
+ix AS (SELECT u, k, term, df, k >= o AND k < o + np AND b = 1 AS anchor FROM rk WHERE (first AND a <= 8) OR (k >= o AND k < o + np AND b = 1)),
+vo AS (SELECT term, min(df) AS df, bool_or(anchor) AS key FROM ix GROUP BY term),
+lk AS (SELECT r, term FROM (SELECT r, term, key, row_number() OVER (PARTITION BY r ORDER BY df, term) AS n FROM (SELECT DISTINCT r, unnest(w) AS term FROM d) JOIN vo USING (term)) WHERE n <= 64 OR key),
+c AS (SELECT r, u, s - 1 - o AS shift, s - 1 AS start FROM d, o, unnest(range(1, len(w) - len(p) + 2)) AS x(s) WHERE list_contains(w, p[1]) AND w[s] = p[1] AND w[s : s + len(p) - 1] = p),
+g AS (
+  SELECT c.r, c.u, c.start, count(*) FILTER (WHERE lk.term IS NOT NULL AND list_contains(w[greatest(shift + k - 8, 0) + 1 : greatest(shift + k + 9, 0)], ix.term)) / count(*) AS score
+  FROM c JOIN ix USING (u) JOIN d USING (r) LEFT JOIN lk ON lk.r = c.r AND lk.term = ix.term GROUP BY c.r, c.u, c.start),
+m AS (SELECT r, start, score, label, base FROM g JOIN k USING (u) WHERE base OR score >= 0.5),
+b AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM m WHERE base GROUP BY r),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM m GROUP BY r)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
-FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r)
 """
 
 

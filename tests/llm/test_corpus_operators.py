@@ -470,17 +470,68 @@ def test_proximity_matches(spark):
             assert h["matched"] == sum(w in texts[i][max(0, h["doc_start"] + k - 2) : max(0, h["doc_start"] + k + 3)] for k, w in enumerate(window)) >= 8
 
 
-def test_licenses(docs, nothing):
-    from reprise.llm.license import TEMPLATES, scan_licenses
-
-    got = {r["doc_id"]: r for r in scan_licenses(docs).collect()}
-    for i, t in _texts():
-        w = _alnum(t)
-        want = sorted((label, p) for label, _, phrase, _ in TEMPLATES for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split())
+def test_licenses(spark, docs, nothing):
+    from reprise.llm.license import _indexed, scan_licenses, templates
+    from reprise.llm.licensetexts import GPL_3, MIT
+
+    r = random.Random(8)
+    noise = lambda n: " ".join(f"n{r.randrange(999)}" for _ in range(n))
+    more = [MIT, noise(30) + " Copyright 2020 " + MIT + noise(5), MIT.replace("Software", "Program"), "# SPDX-License-Identifier: GPL-3.0-or-later", GPL_3.replace("hope", "great hope") + MIT, " ".join(MIT.split()[:20]) + noise(80), "Licensed under CC BY-NC 4.0."]
+    texts = _texts() + [(100 + i, t) for i, t in enumerate(more)]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(texts[len(_texts()) :], "doc_id long, text string"))
+    known = templates()
+    ws = {i: _alnum(t) for i, t in texts}
+    df = {w: sum(w in x for x in map(set, ws.values())) for _, words, _, _ in known for w in words}
+    index = _indexed(known, df, 8)
+    by_idf = sorted({known[u][1][k] for u, ks, _, _ in index for k in ks}, key=lambda w: (df[w], w))
+    keys = {known[u][1][a] for u, _, a, _ in index}
+
+    def brute(w):
+        looked = {x for x in [y for y in by_idf if y in set(w)][:64]} | (keys & set(w))
+        for u, places, _, o in index:
+            label, t, phrase, base = known[u]
+            for s in range(len(w) - len(phrase) + 1):
+                if w[s : s + len(phrase)] == phrase:
+                    near = sum(t[k] in looked and t[k] in w[max(0, s - o + k - 8) : max(0, s - o + k + 9)] for k in places)
+                    if base or near / len(places) >= 0.5:
+                        yield label, base, s, round(near / len(places), 9)
+
+    got = {x["row"]["doc_id"]: x for x in scan_licenses(rows).collect()}
+    for i, w in ws.items():
         assert got[i]["n_words"] == len(w)
-        assert sorted((m["label"], m["start"]) for m in got[i]["matches"]) == want
-        assert all(0 < m["score"] <= 1 for m in got[i]["matches"])
+        assert sorted((m["label"], m["base"], m["start"], round(m["score"], 9)) for m in got[i]["matches"]) == sorted(brute(w)), i
+    labels = {i: {m["label"] for m in got[i]["matches"]} for i in ws}
+    assert all("mit-text" in labels[i] for i in (100, 101, 104)) and "mit-text" not in labels[105]
+    assert labels[103] >= {"spdx:GPL-3.0-or-later"} and labels[104] >= {"gpl-3.0-notice", "gpl"} and labels[106] == {"cc-by-nc-4.0"}
     assert scan_licenses(nothing).count() == 0
+    assert scan_licenses(docs.union(docs)).count() == 2 * docs.count()
+
+
+def _oracle(sql, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, table in tables.items():
+        con.register(name, table)
+    out = con.sql(sql)
+    return sorted((dict(zip(out.columns, row)) for row in out.fetchall()), key=str)
+
+
+def test_queries_agree_with_their_sql(spark, docs, tmp_path):
+    from reprise.llm import queries
+
+    tables = {
+        "documents": docs.select("doc_id", "text", "lang", "source").union(docs.where("doc_id > 8").select("doc_id", "text", "lang", "source")),
+        "benchmark": spark.createDataFrame([("a", _texts()[7][1][:300]), ("b", "two words"), ("c", None), ("c", "zeta")], "item_id string, text string"),
+        "pages": spark.createDataFrame([(1, "http://www.Example.com/en/x"), (1, "http://www.Example.com/en/x"), (2, None), (3, "ftp://a.net/es/?q")], "page_id long, url string"),
+    }
+    for name, t in tables.items():
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    plain = {name: t.toArrow() for name, t in tables.items()}
+    for name, sql in queries.oracle_sql().items():
+        got = sorted((r.asDict() for r in queries.queries()[name](spark, str(tmp_path)).collect()), key=str)
+        want = _oracle(sql, **plain)
+        assert [sorted(r.items()) for r in got] == [sorted(r.items()) for r in want], name
 
 
 # ---- the pipeline ------------------------------------------------------------------------------------------------
