@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -22,31 +23,33 @@ class LanguageModel:
 
 
 def letters(text: str | None) -> bytes:
-    """The lower-cased letters of a text, in UTF-8, with single spaces for all else."""
-    return _OTHER.sub(" ", (text or "").lower()).strip().encode()
+    """The lower-cased letters of a text, in UTF-8, with single spaces for all else; empty where no character is a letter (Unicode category L)."""
+    found = _OTHER.sub(" ", (text or "").lower()).strip()
+    return found.encode() if any(map(str.isalpha, found)) else b""
 
 
 def fit_languages(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", rows_per_lang: int = 256, slice_chars: int = 1024, dict_bytes: int = 131072, max_langs: int = 256) -> LanguageModel:
     """Dictionaries from a bounded sample: at most `rows_per_lang` slices of `slice_chars` characters for each language.
 
-    Rows where `train` holds and text and language are known take part. Each language is thinned by a hash to about
-    twice the rows it needs before any row moves. More than `max_langs` languages are an error. Without
+    Rows where `train` holds and text and language are known take part; a text counts once for each language, however often it
+    is repeated. Each language is thinned by a hash to about twice the distinct texts it needs, then the first `rows_per_lang` slices
+    by that hash are taken, language by language. More than `max_langs` languages are an error. Without
     training rows the model is empty and every prediction is `und`.
     """
-    rows = docs.where(train).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(max_langs + 1).collect()}
+    rows = docs.where(train).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("k"))
+    counts = {r["k"]: r["n"] for r in rows.groupBy("k").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n")).limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not counts:
         return LanguageModel(())
-    mixed = F.pmod(F.xxhash64(F.lit(7), text), F.lit(1_000_000))
-    quota = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, 2_000_000 * rows_per_lang // n + 1))])
-    start = F.lit(1) + F.pmod(F.xxhash64(F.lit(11), text), F.greatest(F.lit(1), F.length(text) - slice_chars)).cast("int")
-    picked = rows.where(mixed < F.element_at(quota, F.col(lang))).select(F.col(lang).alias("k"), mixed.alias("m"), F.substring(F.col(text), start, F.lit(slice_chars)).alias("s"))
+    mixed = F.pmod(F.xxhash64(F.lit(7), "t"), F.lit(1_000_000))
+    quota = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, 2_000_000 * rows_per_lang // max(1, n) + 1))])
+    start = F.lit(1) + F.pmod(F.xxhash64(F.lit(11), "t"), F.greatest(F.lit(1), F.length("t") - slice_chars)).cast("int")
+    picked = rows.where(mixed < F.element_at(quota, F.col("k"))).select("k", mixed.alias("m"), F.substring(F.col("t"), start, F.lit(slice_chars)).alias("s")).distinct()
+    ranked = picked.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("m", "s"))).where(F.col("r") <= rows_per_lang)
     pool: dict[str, list[bytes]] = {k: [] for k in counts}
-    for r in picked.orderBy("m", "k", "s").limit(3 * rows_per_lang * len(counts)).collect():
-        if len(pool[r["k"]]) < rows_per_lang:
-            pool[r["k"]].append(letters(r["s"]))
+    for r in ranked.orderBy("k", "r").collect():
+        pool[r["k"]].append(letters(r["s"]))
     return LanguageModel(tuple((k, b" ".join(pool[k])[:dict_bytes]) for k in sorted(pool)))
 
 

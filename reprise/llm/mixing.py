@@ -63,14 +63,31 @@ def apportion(parties: DataFrame, seats: str, votes: str, order: list[str], grou
     return a.join(b, same, "left").select("a.*", "b._won").withColumn("quota", F.col("_first") + F.coalesce("_won", F.lit(0))).drop("_v", "_p", "_first", "_left", "_won")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 1_000_000, seed: int = 17) -> DataFrame:
+#: Primes beyond the number of blocks of any shard; a multiplier of them permutes the blocks. Fixed values, the first above 2^24.
+_PRIMES = [16777259, 16777289, 16777291, 16777331, 16777333, 16777337, 16777381, 16777421]
+
+
+def _selected(first: Column, last: Column, blocks: Column, rest: Column, key: Column, before: Column, size: Column, block: int) -> Column:
+    """How many of a document's words lie in the blocks that a shard's seeded permutation ranks below `rest`.
+
+    The document's words are `before` to `before + size` of its shard's line, which touch the blocks `first` to `last`.
+    """
+    prime = F.element_at(F.array(*[F.lit(p) for p in _PRIMES]), (F.pmod(key, F.lit(len(_PRIMES))) + 1).cast("int")).cast("long")
+    rank = lambda b: F.pmod(prime * b + F.pmod(F.shiftright(key, 8), blocks), blocks)
+    overlap = lambda b: F.least(before + size, (b + 1) * block) - F.greatest(before, b * block)
+    step = lambda n, b: n + F.when(rank(b) < rest, overlap(b)).otherwise(F.lit(0).cast("long"))
+    return F.when((size > 0) & (rest > 0), F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), step)).otherwise(F.lit(0).cast("long"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 1_000_000, seed: int = 17, fan: int = 1024) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of `docs` (doc_id, text, source).
 
-    Blocks of `block` words are apportioned to the sources by their targets and then, within a source, to its shards by
-    size, both by highest Sainte-Laguë quotients. A shard holds about `shard_words` words of one source, chosen by a hash
-    of the row, so that a source of any size is cut into tasks of one size. Each shard takes whole
-    passes over its documents and then, in seeded order, documents until its quota is met; the last one in
-    part. taken counts words with repeats and never exceeds `most` times the size.
+    Blocks of `block` words are apportioned to the sources by their targets, within a source to its ranges of `fan` shards and
+    within a range to its shards by size, each by highest Sainte-Laguë quotients. A shard holds about `shard_words` words of one
+    source, chosen by a hash of the row, so that a source of any size is cut into tasks of one size; `fan` bounds the parties of an
+    apportionment, but that of the sources, which are ranked in one task. A shard's documents stand in a line in seeded order,
+    cut into equal blocks. It takes whole passes over all its blocks and, of the rest of its quota, the blocks that a permutation seeded by
+    source, shard and `seed` ranks first. taken counts a document's words in taken blocks with repeats and never exceeds `most` times the size.
 
     Sizes are counted in one scan and kept; all later steps move ids and numbers only. A null or blank text has size 0 and
     takes 0; a null source is a source of its own; rows that repeat are mixed each (equal rows are interchangeable); no
@@ -84,15 +101,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     blocks = apportion(targets.withColumn("_n", total), "_n", "target", ["source"], []).drop("_n")
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
     plan = cut(blocks.select("source", "source_size", "target", F.col("quota").alias("blocks"), shards.alias("shards")))
-    placed = _with(sized, plan, ["source"]).withColumn("shard", F.pmod(F.shiftright("h", 20), F.col("shards")))
-    by_shard = placed.groupBy("source", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
-    quotas = apportion(by_shard, "blocks", "shard_size", ["shard"], ["source"]).select("source", "shard", "shard_size", F.least(F.col("quota") * block, (F.col("shard_size") * most).cast("long")).alias("quota"))
+    placed = _with(sized, plan, ["source"]).withColumn("shard", F.pmod(F.shiftright("h", 20), F.col("shards"))).withColumn("range", F.floor(F.col("shard") / fan))
+    by_shard = cut(placed.groupBy("source", "range", "shard", "blocks").agg(F.sum("size").alias("shard_size")))
+    ranges = by_shard.groupBy("source", "range", "blocks").agg(F.sum("shard_size").alias("range_size"))
+    ranges = apportion(ranges, "blocks", "range_size", ["range"], ["source"]).select("source", "range", F.col("quota").alias("part"))
+    quotas = apportion(_with(by_shard, ranges, ["source", "range"]), "part", "shard_size", ["shard"], ["source", "range"])
+    cells = F.ceil(F.col("shard_size") / block).cast("long")
+    quotas = quotas.select("source", "shard", cells.alias("cells"), F.least("quota", (cells * most).cast("long")).alias("quota"), F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("")), F.col("source").isNull(), "shard").alias("key"))
     rows = _with(placed, quotas, ["source", "shard"])
-    before = F.sum("size").over(W.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
-    passes = F.expr("CASE WHEN shard_size > 0 THEN quota DIV shard_size ELSE 0 END")
-    rest = F.col("quota") - passes * F.col("shard_size") - F.coalesce(before, F.lit(0))
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    line = W.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    passes = F.expr("CASE WHEN cells > 0 THEN quota DIV cells ELSE 0 END")
+    first, last = F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("size") - 1) / block)
+    rest = F.col("quota") - passes * F.col("cells")
+    picked = _selected(first, F.greatest(first, last), F.col("cells"), rest, F.col("key"), F.col("before"), F.col("size"), block)
+    return rows.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + picked).cast("long").alias("taken"))
 
 
 def _with(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

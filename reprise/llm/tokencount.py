@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: library; Python's own \s would add U+001C to U+001F.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
+#: A pre-token of more characters than this is encoded wherever it stands, never kept; an entry of the cache is taken to need ENTRY bytes beside its text.
+LONGEST, ENTRY = 64, 160
+
 #: One encoder and one cache of misses for each worker process, by tokenizer definition.
 _WORKER: dict = {}
 
@@ -23,7 +26,7 @@ _WORKER: dict = {}
 class _Encoder:
     """Lengths of pre-tokens: the broadcast table first, then this worker's cache, then the library."""
 
-    def __init__(self, definition: str, frequent: dict[str, int], cache_entries: int) -> None:
+    def __init__(self, definition: str, frequent: dict[str, int], cache_bytes: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -34,8 +37,8 @@ class _Encoder:
         self.split = regex.compile(PRETOKEN).findall
         specials = sorted((t["content"] for t in json.loads(definition).get("added_tokens", [])), key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-        self.frequent, self.cache_entries = frequent, cache_entries
-        self.known = dict(frequent)
+        self.frequent, self.cache_bytes = frequent, cache_bytes
+        self.known, self.held = dict(frequent), 0
 
     def pretokens(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens of a text, and how many special tokens stand between them."""
@@ -54,11 +57,15 @@ class _Encoder:
             return total + sum(map(self.known.__getitem__, tokens))
         except KeyError:
             own = {t for t in tokens if t not in self.known}
-        if len(self.known) + len(own) > len(self.frequent) + self.cache_entries:
-            self.known = dict(self.frequent)
-            own = {t for t in tokens if t not in self.known}
-        self.known.update(self.lengths(sorted(own)))
-        return total + sum(map(self.known.__getitem__, tokens))
+        found = self.lengths(sorted(own))
+        total += sum(found[t] if t in found else self.known[t] for t in tokens)
+        for t, n in found.items():
+            if len(t) <= LONGEST:
+                self.known[t] = n
+                self.held += ENTRY + 4 * len(t)
+        if self.held > self.cache_bytes:
+            self.known, self.held = dict(self.frequent), 0
+        return total
 
 
 def check_definition(definition: str) -> None:
@@ -71,23 +78,28 @@ def check_definition(definition: str) -> None:
 
 
 def frequent_lengths(docs: DataFrame, definition: str, entries: int, sample_rows: int, sample_chars: int = 8192) -> dict[str, int]:
-    """Lengths of up to `entries` frequent pre-tokens, learned from at most `sample_rows` rows.
+    """Lengths of up to `entries` frequent pre-tokens, learned from `sample_rows` rows picked by a hash, `sample_chars` characters of each at most.
 
-    The table only saves work: a pre-token that it lacks is encoded by the worker that meets it.
+    The table only saves work: a pre-token that it lacks is encoded by the worker that meets it. Rows are picked by one scan; a repeated
+    text is picked once.
     """
-    encoder, seen = _Encoder(definition, {}, entries), Counter()
-    for row in docs.select(F.substring("text", 1, sample_chars).alias("t")).where("t IS NOT NULL").limit(sample_rows).collect():
+    encoder, seen = _Encoder(definition, {}, 0), Counter()
+    mixed = F.xxhash64(F.lit(5), "text")
+    start = F.lit(1) + F.pmod(mixed, F.greatest(F.lit(1), F.length("text") - sample_chars)).cast("int")
+    sliced = docs.where("text IS NOT NULL").select(mixed.alias("m"), F.substring(F.col("text"), start, F.lit(sample_chars)).alias("t"))
+    picked = docs.where("text IS NOT NULL").select(mixed.alias("m")).distinct().orderBy("m").limit(sample_rows).agg(F.max("m")).first()[0]
+    for row in (sliced.where(F.col("m") <= picked).distinct().collect() if picked is not None else []):
         seen.update(encoder.pretokens(row["t"])[0])
     most = nlargest(entries, seen, key=lambda t: (seen[t], t))
-    return encoder.lengths([t for t in most if seen[t] > 1])
+    return encoder.lengths([t for t in most if seen[t] > 1 and len(t) <= LONGEST])
 
 
-def count_tokens(docs: DataFrame, definition: str, limit: int = 1024, entries: int = 32768, sample_rows: int = 2000, cache_entries: int = 400_000) -> DataFrame:
+def count_tokens(docs: DataFrame, definition: str, limit: int = 1024, entries: int = 32768, sample_rows: int = 2000, cache_bytes: int = 96 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of `docs` (doc_id, text).
 
     `definition` is the JSON of a byte-level tokenizer. Tier one is a broadcast table of at most
-    `entries` pre-token lengths; tier two is a cache of at most `cache_entries` in each worker, filled by
-    encoding what it lacks. No pre-token is shuffled. Special strings inside a text count as the
+    `entries` pre-token lengths; tier two is a cache of about `cache_bytes` in each worker, filled by
+    encoding what it lacks and emptied when full. No pre-token is shuffled. Special strings inside a text count as the
     library counts them by default: one token each. A null text is empty: 0 bytes, 0 tokens.
     Repeated rows are counted each. Other columns of `docs` are not read.
     """
@@ -96,10 +108,10 @@ def count_tokens(docs: DataFrame, definition: str, limit: int = 1024, entries: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = sent.value
-        encoder = _WORKER.get((own, cache_entries))
+        encoder = _WORKER.get((own, cache_bytes))
         if encoder is None or encoder.frequent is not table:
             _WORKER.clear()
-            encoder = _WORKER[own, cache_entries] = _Encoder(own, table, cache_entries)
+            encoder = _WORKER[own, cache_bytes] = _Encoder(own, table, cache_bytes)
         for batch in batches:
             texts = batch.column(1)
             counts, sizes = [], []

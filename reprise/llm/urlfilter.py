@@ -28,10 +28,15 @@ def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
 
 
 def _digest(host: Column, path: Column) -> Column:
-    return F.sha2(F.concat(host, F.lit("\n"), path).cast("binary"), 256)
+    return F.unhex(F.sha2(F.concat(host, F.lit("\n"), path).cast("binary"), 256))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", prefix_chars: int = 8) -> DataFrame:
+def _short(digest: Column) -> Column:
+    """The first 32 bits of a digest."""
+    return F.substring(digest, 1, 4)
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """All columns of `pages` with host, path, rule and verdict.
 
     `rules` has (host, path, verdict). A rule fits its own host and every subdomain where the page's
@@ -40,8 +45,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     verdict is `default`.
 
     Each distinct URL is expanded into host suffixes and path prefixes (of those lengths only that
-    some rule path has), equi-joined to the rules on the first `prefix_chars` hex digits of a SHA-256 and
-    confirmed on the whole digest. URLs are judged once each, so a URL on a third of all pages costs one
+    some rule path has), equi-joined to the rules on the first 32 bits of a SHA-256 and
+    confirmed on the whole digest after the join. URLs are judged once each, so a URL on a third of all pages costs one
     row; pages get their verdict back by a join that adaptive execution may split. The number of
     distinct path lengths among the rules is read to the driver (at most a URL's length).
 
@@ -52,15 +57,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     known = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").select("host", "path", "verdict").distinct()
     lengths = sorted(r[0] for r in known.select(F.length("path")).distinct().collect())
     found = known.select(F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("hl"), F.length(F.concat("host", "path")).alias("rl"), _digest(F.col("host"), F.col("path")).alias("d"))
-    found = found.withColumn("k", F.substring("d", 1, prefix_chars))
+    found = found.withColumn("k", _short(F.col("d")))
     host, path = split_url(F.col("u"))
     urls = pages.select(F.col(url).alias("u")).where("u IS NOT NULL").distinct()
     parts = urls.select("u", host.alias("h0"), path.alias("p0")).where("h0 <> ''")
     terms = parts.select("u", F.explode(_expressions(F.col("h0"), F.col("p0"), lengths)).alias("e")) if lengths else parts.select("u", F.lit(None).cast("struct<h:string,p:string>").alias("e")).where("false")
-    terms = terms.select("u", _digest(F.col("e.h"), F.col("e.p")).alias("td")).withColumn("tk", F.substring("td", 1, prefix_chars))
-    fits = terms.join(found, (terms.tk == found.k) & (terms.td == found.d))
+    terms = terms.select("u", _digest(F.col("e.h"), F.col("e.p")).alias("td")).withColumn("tk", _short(F.col("td")))
+    # Digests are of one length, so one begins with the other where they are equal; as an equality it would become a join key.
+    fits = terms.join(found, terms.tk == found.k).where(F.startswith("td", "d"))
     best = fits.groupBy("u").agg(F.max(F.struct("rl", "hl", (F.col("verdict") == "block").alias("b"), "rule", "verdict")).alias("best"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    host, path = split_url(F.col(url))
-    out = pages.join(best, F.col(url) == best.u, "left")
-    return out.select(*[pages[c] for c in kept], host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    host, path = split_url(F.col("url"))
+    rows = pages.select(F.struct(*pages.columns).alias("row"), F.col(url).alias("url"))
+    out = rows.join(best, rows["url"] == best["u"], "left")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

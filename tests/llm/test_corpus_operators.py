@@ -193,6 +193,12 @@ def test_languages(spark, nothing):
     assert wrong == 0 and got[len(rows) - 1]["lang_pred"] == "cc"
     assert got[len(rows) - 3]["lang_pred"] == got[len(rows) - 2]["lang_pred"] == "und"
     assert all(0 <= x["score"] <= 1 for x in got.values())
+    odd = spark.createDataFrame([(1, "½ ² ①", "x"), (2, "Ⅷ 12", "x"), (3, "", "x"), (4, "kaloka lomi", "x"), (4, "kaloka lomi", "x")], "doc_id long, text string, score string")
+    found = {x["doc_id"]: x["lang_pred"] for x in identify_languages(odd, model).collect()}
+    assert found == {1: "und", 2: "und", 3: "und", 4: "aa"} and identify_languages(odd, model).count() == 5
+    copies = spark.createDataFrame([(speak("aa", 60), "aa")] * 3000 + [(speak("bb", 60), "bb") for _ in range(60)] + [(speak("aa", 60), "aa")], "text string, lang string")
+    starved = fit_languages(copies, F.lit(True), rows_per_lang=16)
+    assert all(len(content) > 300 for _, content in starved.contents)
     empty = fit_languages(nothing, F.lit(True))
     assert identify_languages(df, empty).select("lang_pred").distinct().collect()[0][0] == "und"
     assert identify_languages(nothing, model).count() == 0
@@ -318,6 +324,10 @@ def test_urls(spark):
 
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string")).collect()}
     assert got == {i: judge(u) for i, u in enumerate(urls)}
+    clash = pages.withColumns({c: F.lit("own") for c in ("best", "h0", "e", "td", "k", "d", "row", "rl")})
+    found = judge_urls(clash, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    assert found.where("best = 'own' AND k = 'own' AND row = 'own'").count() == len(urls)
+    assert judge_urls(pages.where("false"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string")).count() == 0
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert judge_urls(pages, none).where("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
 
@@ -338,6 +348,36 @@ def test_apportion_is_sainte_lague(spark):
         assert got == seats
 
 
+def _mixed_by_blocks(docs, shard_words, fan, block=16):
+    """Lays out each shard's line word by word and takes the blocks that the seeded permutation ranks first."""
+    from reprise.llm.mixing import _PRIMES, mix_sources
+
+    got = {r["doc_id"]: r for r in mix_sources(docs, shard_words=shard_words, fan=fan).collect()}
+    total = docs.select("source", F.xxhash64(F.lit(17), "doc_id", "text").alias("h"), "doc_id").collect()
+    by = {}
+    for r in total:
+        size = got[r["doc_id"]]["size"]
+        n = max(1, -(-got[r["doc_id"]]["source_size"] // shard_words))
+        by.setdefault((r["source"], (r["h"] >> 20) % n), []).append((r["h"], r["doc_id"], size))
+    spark = docs.sparkSession
+    for (source, shard), rows in by.items():
+        line = [i for h, i, size in sorted(rows) for _ in range(size)]
+        cells = -(-len(line) // block)
+        taken = sum(got[i]["taken"] for _, i, _ in rows)
+        key = spark.range(1).select(F.xxhash64(F.lit(18), F.lit(source or ""), F.lit(source is None), F.lit(shard).cast("long"))).first()[0]
+        for quota in range(2 * cells + 1):  # the quota is what explains the shard's sum
+            passes, rest = divmod(quota, cells) if cells else (0, 0)
+            prime = _PRIMES[key % len(_PRIMES)]
+            picked = {b for b in range(cells) if (prime * b + (key >> 8) % cells) % cells < rest}
+            count = {i: passes * size for _, i, size in rows}
+            for at, i in enumerate(line):
+                count[i] += at // block in picked
+            if sum(count.values()) == taken and count == {i: got[i]["taken"] for _, i, _ in rows}:
+                break
+        else:
+            raise AssertionError((source, shard))
+
+
 def test_mixing(docs, nothing):
     from reprise.llm.mixing import mix_sources
 
@@ -363,6 +403,8 @@ def test_mixing(docs, nothing):
         target = 2 * total[s] if s in full else share[s]
         assert rs[0]["target"] == pytest.approx(target) and rs[0]["source_size"] == total[s]
         assert abs(sum(r["taken"] for r in rs) - target) <= 64
+    for shard_words, fan in ((500, 4), (3000, 1024)):
+        _mixed_by_blocks(docs, shard_words, fan)
     assert sorted(map(tuple, mix_sources(docs.repartition(5)).collect()), key=str) == sorted(map(tuple, rows), key=str)
     assert mix_sources(nothing).count() == 0
 
@@ -394,7 +436,7 @@ def test_toxicity(spark, nothing):
 
 
 # ---- 8 tokens ----------------------------------------------------------------------------------------------------
-def test_tokens(docs, nothing):
+def test_tokens(spark, docs, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -403,11 +445,14 @@ def test_tokens(docs, nothing):
     definition = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
     library = Tokenizer.from_str(definition)
     want = {i: len(library.encode(t or "", add_special_tokens=False)) for i, t in _texts()}
-    got = {r["doc_id"]: r for r in count_tokens(docs, definition, cache_entries=20, entries=10).collect()}
+    got = {r["doc_id"]: r for r in count_tokens(docs, definition, cache_bytes=2000, entries=10).collect()}
     assert {i: r["n_tokens"] for i, r in got.items()} == want
     assert all(r["n_bytes"] == len((_texts()[i][1] or "").encode()) and r["over_limit"] == (want[i] > 1024) for i, r in got.items())
     assert count_tokens(nothing, definition).count() == 0
-    encoder, r = _Encoder(definition, {}, 50), random.Random(1)
+    assert count_tokens(docs.union(docs), definition).count() == 2 * len(want)
+    long = spark.createDataFrame([(1, "x" * 300_000)], "doc_id long, text string")
+    assert count_tokens(long, definition).collect()[0]["n_tokens"] == len(library.encode("x" * 300_000, add_special_tokens=False))
+    encoder, r = _Encoder(definition, {}, 5000), random.Random(1)
     for _ in range(500):
         t = "".join(r.choice("ab Z'sté\x1c\x1d\x85\u00a0\u3000\t\n  12٣\U0001f600<|endoftext|>") for _ in range(r.randint(0, 30))) + r.choice(["", "<|endoftext|>", " 's"])
         assert encoder.count(t) == len(library.encode(t, add_special_tokens=False)), repr(t)
