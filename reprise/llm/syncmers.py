@@ -6,62 +6,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reprise.llm.common import blank_words, let
+from reprise.llm.common import let
 
-#: A k-mer is this many words, its inner substrings are pairs of words: four of them, so that half of all k-mers are chosen.
-WORDS = 5
+#: A k-mer is KMER code points, its inner substrings have INNER: five of them, so that two in five k-mers are chosen.
+KMER, INNER = 12, 8
 
 
-def _chosen(words: Column, pick) -> Column:
-    """`pick(s, i)` for the place i of each closed syncmer, s being the hashes of the word pairs, in order."""
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
+def _cut(points: Column, at: Column, size: int) -> Column:
+    """`size` code points of a text in UTF-32, four bytes each, from the place `at` on: a copy of a few bytes wherever it stands."""
+    return F.substring(points, (at * 4 + 1).cast("int"), F.lit(4 * size))
 
-    def places(s: Column) -> Column:
-        edge = lambda x, i: F.least(x, F.get(s, i + 3)) <= F.least(F.get(s, i + 1), F.get(s, i + 2))
-        whole = F.size(s) - WORDS
-        found = F.transform(s, lambda x, i: F.when((i <= whole) & edge(x, i), pick(s, i)))
-        return F.when(F.size(s) >= WORDS, F.filter(found, lambda v: v.isNotNull()))
 
-    return let(pairs, places)
+def _upto(n: Column) -> Column:
+    """The places 0 to n - 1; none if n is 0 or less."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _kmer(s: Column, i: Column) -> Column:
-    return F.xxhash64(F.get(s, i), F.get(s, i + 2), F.get(s, i + 3))
+def _chosen(points: Column) -> Column:
+    """The places of the closed syncmers of a text in UTF-32, in order; that of a text too short for one is 0, without characters there is none."""
+    n = (F.octet_length(points) / 4).cast("int")
+    last = KMER - INNER
+
+    def closed(s: Column) -> Column:
+        edge = lambda i: F.least(F.get(s, i), F.get(s, i + last)) <= F.least(*[F.get(s, i + j) for j in range(1, last)])
+        return F.filter(_upto(F.size(s) - last), edge)
+
+    hashes = F.transform(_upto(n - INNER + 1), lambda i: F.xxhash64(_cut(points, i, INNER)))
+    return F.when(n >= KMER, let(hashes, closed)).otherwise(_upto(F.least(n, F.lit(1))))
 
 
 def anchors(text: Column) -> Column:
-    """array<struct<pos, hash>>: the closed syncmers of a text over words, at word positions from 0.
+    """array<struct<pos, hash>>: the closed syncmers of a text, at code points from 0.
 
-    A run of five words is an anchor if the least hash among its four pairs of neighbouring words is that of the first
-    or the last pair. Whether it is depends on these words alone, so equal runs are anchors wherever they stand. A text of fewer words
-    is one anchor as a whole; null and blank texts have none.
+    A run of KMER code points is an anchor if the least hash among its substrings of INNER is that of the first or the last one. Whether it
+    is depends on these characters alone, so equal runs are anchors wherever they stand. A text of fewer is one anchor as a whole; null
+    and empty texts have none. All anchors of the whole text are kept.
     """
-    def found(words: Column) -> Column:
-        chosen = _chosen(words, lambda s, i: F.struct(i.alias("pos"), _kmer(s, i).alias("hash")))
-        short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.array_join(words, " ")).alias("hash")))
-        return F.when(F.size(words) >= WORDS, chosen).when(F.size(words) > 0, short).otherwise(F.filter(short, lambda x: F.lit(False)))
+    found = lambda points: F.transform(_chosen(points), lambda i: F.struct(i.alias("pos"), F.xxhash64(_cut(points, i, KMER)).alias("hash")))
+    return let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), found)
 
-    return let(blank_words(text), found)
 
+def prints(text: Column) -> Column:
+    """struct<fingerprint, places> over all anchors of a text.
 
-def places(found: Column) -> Column:
-    """One hash for each of the `found` anchors, in order: its own, the next one's and the distance in words between them.
-
-    It holds what stands where relative to its neighbour, so a passage has the same ones wherever it stands.
+    places has a hash for each anchor, in order: of its characters, the next anchor's and the distance between them. It holds what stands where
+    relative to its neighbour, so a passage has the same ones wherever it stands. fingerprint is a digest of all of them with
+    their positions, 32 hex digits, and empty without anchors.
     """
-    after = lambda i: F.get(found, i + 1)
-    return F.transform(found, lambda x, i: F.xxhash64(x["hash"], after(i)["hash"], after(i)["pos"] - x["pos"]))
-
-
-def printed(found: Column) -> Column:
-    """A digest of all anchors with their positions: 32 hex digits, none without anchors."""
     half = lambda *c: F.lower(F.lpad(F.hex(F.xxhash64(*c)), 16, "0"))
-    return F.when(F.size(found) == 0, F.lit("")).otherwise(F.concat(half(found), half(F.lit(1), found)))
 
+    def linked(points: Column, at: Column) -> Column:
+        after = lambda i: F.get(at, i + 1)
+        return F.transform(at, lambda p, i: F.xxhash64(_cut(points, p, KMER), F.when(after(i).isNotNull(), _cut(points, after(i), KMER)), after(i) - p))
 
-def prints(text: Column) -> Column:
-    """struct<fingerprint, places> over all anchors of a text."""
-    return let(anchors(text), lambda a: F.struct(printed(a).alias("fingerprint"), places(a).alias("places")))
+    def printed(at: Column, places: Column) -> Column:
+        digest = F.when(F.size(at) == 0, F.lit("")).otherwise(F.concat(half(at, places), half(F.lit(1), at, places)))
+        return F.struct(digest.alias("fingerprint"), places.alias("places"))
+
+    whole = lambda points: let(_chosen(points), lambda at: let(linked(points, at), lambda places: printed(at, places)))
+    return let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), whole)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -115,7 +118,7 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     The edited text has its last quarter (floor of n_chars / 4 code points) replaced by the first as many code points, or
     all, of the next document by ascending doc_id; after the last comes the first. Result: doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts are empty; texts without words have an
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts are empty; empty texts have an
     empty fingerprint, and two of them are alike (1.0). Equal texts have equal fingerprints. `parts` is the number of id
     ranges, four for each shuffle partition unless given.
     """

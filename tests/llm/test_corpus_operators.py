@@ -220,29 +220,54 @@ def test_syncmers(spark, docs, nothing):
     assert got[7]["near_edited"] > 0.5 > got[7]["near_next"]
     assert fingerprint_edits(nothing, 4).count() == 0
     long = " ".join(f"w{i}" for i in range(300))
-    rows = spark.createDataFrame([(long,), ("different start " + long,), (None,), ("few words",)], "t string").select(anchors(F.col("t")).alias("a")).collect()
+    rows = spark.createDataFrame([(long,), ("ö start " + long,), (None,), ("few",)], "t string").select(anchors(F.col("t")).alias("a")).collect()
     one, two = [{(x["pos"], x["hash"]) for x in r["a"]} for r in rows[:2]]
-    assert {(p + 2, h) for p, h in one} <= two and len(two) - len(one) <= 2  # anchors move with their words
-    assert 100 < len(one) < 200 and rows[2]["a"] == [] and len(rows[3]["a"]) == 1
+    assert {(p + 8, h) for p, h in one} <= two and len(two) - len(one) <= 8  # anchors move with their characters
+    assert 0.3 < len(one) / len(long) < 0.5 and rows[2]["a"] == [] and len(rows[3]["a"]) == 1
 
 
-def test_syncmers_match_a_passage_of_long_documents(spark):
+def _anchors(text):
+    """Closed syncmers by brute force: (place, characters)."""
+    h = lambda t: xxhash.xxh64_intdigest(t.encode("utf-32-be"), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode("utf-32-be"), 42) >> 63)
+    if len(text) < 12:
+        return [(0, text)] if text else []
+    inner = [h(text[i : i + 8]) for i in range(len(text) - 7)]
+    return [(i, text[i : i + 12]) for i in range(len(text) - 11) if min(inner[i], inner[i + 4]) <= min(inner[i + 1 : i + 4])]
+
+
+def _links(text):
     from collections import Counter
 
+    a = _anchors(text)
+    return Counter((t, *((a[i + 1][1], a[i + 1][0] - p) if i + 1 < len(a) else ())) for i, (p, t) in enumerate(a))
+
+
+def test_syncmers_against_brute_force(spark):
     from reprise.llm.syncmers import anchors, fingerprint_edits
 
     r = random.Random(2)
     prose = lambda n: " ".join(f"w{r.randrange(50_000)}" for _ in range(n))
     passage = prose(300)
-    texts = [prose(9000) + " " + passage + " " + prose(9000), prose(4000) + " " + passage + " " + prose(15_000), "a b c d e f g " * 50, "a b c d e f g " * 20]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = [[(x["pos"], x["hash"]) for x in row["a"]] for row in df.orderBy("doc_id").select(anchors(F.col("text")).alias("a")).collect()]
-    links = [Counter((h, *((a[i + 1][1], a[i + 1][0] - p) if i + 1 < len(a) else ())) for i, (p, h) in enumerate(a)) for a in found]
-    got = {x["doc_id"]: x for x in fingerprint_edits(df, 2).collect()}
-    for i in range(4):
-        a, b = links[i], links[(i + 1) % 4]
-        assert got[i]["near_next"] == pytest.approx(2 * (a & b).total() / (a.total() + b.total()))
-    assert got[0]["near_next"] > 0.01 and 0.3 < got[2]["near_next"] < 0.9
+    texts = [prose(2000) + " " + passage, prose(400) + " " + passage + " " + prose(500), "a b c d e f g " * 50, "a b c d e f g " * 20, None, "é漢😀" * 30, "short"]
+    texts += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000)), "one quite short line of eight small words", "", passage, passage]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("prints", F.lit("clash"))
+    found = df.orderBy("doc_id").select(anchors(F.col("text")).alias("a")).collect()
+    plain = [t or "" for t in texts]
+    for t, row in zip(plain, found):
+        if max(map(ord, t), default=0) < 0x10000:
+            assert [x["pos"] for x in row["a"]] == [p for p, _ in _anchors(t)]
+    got = {x["doc_id"]: x for x in fingerprint_edits(df, 3).collect()}
+    alike = lambda a, b: 2 * (a & b).total() / (a.total() + b.total()) if a or b else 1.0
+    for i, t in enumerate(plain):
+        after = plain[(i + 1) % len(plain)]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + after[:q]
+        assert got[i]["near_next"] == pytest.approx(alike(_links(t), _links(after))), i
+        assert got[i]["near_edited"] == pytest.approx(alike(_links(t), _links(edited))), i
+        for j in range(i):
+            assert (got[i]["fingerprint"] == got[j]["fingerprint"]) == (t == plain[j])
+            assert (got[j]["edited_fingerprint"] == got[i]["fingerprint"]) == (got[j]["edited_sha256"] == hashlib.sha256(t.encode()).hexdigest())
+    assert got[0]["near_next"] > 0.1 and got[7]["near_edited"] > 0.7 and got[8]["near_edited"] > 0.5 and got[10]["near_next"] == 1.0
 
 
 # ---- 4 repeats ---------------------------------------------------------------------------------------------------
