@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SEPARATORS = re.compile(rb"[^a-z0-9\x80-\xff]+")
-_LENGTHS = (6, 7, 8)
+#: Bytes of the strings by which toxic and ordinary texts are told apart when a dictionary is trained.
+_GRAM = 7
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,7 @@ class ToxicityModel:
     ordinary: bytes
     weights: tuple[float, ...]
     window_words: int = 8
+    step_words: int = 6
     threshold: int = 3
 
 
@@ -33,43 +34,50 @@ def _words(text: str | None) -> list[bytes]:
     return _SEPARATORS.sub(b" ", (text or "").encode().lower()).split()
 
 
-def _grams(text: str) -> np.ndarray:
-    """The distinct byte runs of 6 to 8 in a text's words and single spaces, each packed into 64 bits."""
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text's words with single spaces, and the _GRAM bytes from each place on, packed."""
     data = np.frombuffer(b" " + b" ".join(_words(text)) + b" " + b"\0" * 8, dtype=np.uint8)
     n = len(data) - 8
     packed = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
+    for i in range(_GRAM):
         packed = (packed << np.uint64(8)) | data[i : i + n]
-    return np.unique(np.concatenate([packed[: max(0, n - k + 1)] & ~np.uint64((1 << (64 - 8 * k)) - 1) for k in _LENGTHS]))
+    return data[:n], packed[: max(0, n - _GRAM + 1)]
 
 
-def _telling(own: list[str], other: list[str], most: int, cover: int = 2, ratio: float = 20.0) -> list[bytes]:
-    """Byte runs of many texts of `own` and few of `other`, picked until each text has `cover` of them."""
-    sets = [_grams(t) for t in own]
-    if not sets:
-        return []
-    runs, held = np.unique(np.concatenate(sets), return_counts=True)
-    runs, held = runs[held >= 4], held[held >= 4]
-    seen = np.zeros(len(runs), dtype=np.int64)
-    for text in other:
-        seen += np.isin(runs, _grams(text), assume_unique=True)
-    a, b = (held + 0.5) / (len(own) + 1), (seen + 0.5) / (len(other) + 1)
-    good = a >= ratio * b
-    runs, weight = runs[good], np.log(a[good] / b[good])
-    spelled = [int(r).to_bytes(8, "big").rstrip(b"\0") for r in runs]
-    weight *= np.array([1 + len(b) / 100 for b in spelled])  # of runs in the same texts, the longest
-    has = np.stack([np.isin(runs, s, assume_unique=True) for s in sets]) if len(runs) else np.zeros((len(sets), 0), bool)
-    need, picked = np.full(len(sets), cover), []
-    while len(picked) < most and len(runs):
-        gain = has[need > 0].sum(0) * weight
-        at = int(np.argmax(gain))
-        if gain[at] < 8:
-            break
-        picked.append(spelled[at])
-        need -= has[:, at]
-        pieces = [spelled[at][i : i + 5] for i in range(len(spelled[at]) - 4)]
-        has[:, [any(p in b for p in pieces) for b in spelled]] = False  # what overlaps it tells nothing new
-    return picked
+def _unlike(own: list[str], other: list[str], ratio: float, least: int) -> list[bytes]:
+    """What the texts of `own` say unlike those of `other`: their bytes covered by strings of _GRAM that at least `least` of them have, `ratio` times as often."""
+    def held(texts):
+        return np.unique(np.concatenate([np.unique(_grams(t)[1]) for t in texts]), return_counts=True)
+
+    runs, n = held(own)
+    runs, n = runs[n >= least], n[n >= least]
+    known, m = held(other)
+    at = np.minimum(np.searchsorted(known, runs), max(0, len(known) - 1))
+    m = np.where(known[at] == runs, m[at], 0) if len(known) else np.zeros(len(runs))
+    runs = runs[(n + 0.5) / (len(own) + 1) >= ratio * (m + 0.5) / (len(other) + 1)]
+    out = []
+    for text in own:
+        data, packed = _grams(text)
+        covered = np.zeros(len(data) + 2, dtype=np.int8)
+        for i in np.flatnonzero(np.isin(packed, runs)):
+            covered[i + 1 : i + 1 + _GRAM] = 1
+        edges = np.flatnonzero(np.diff(covered)).tolist()
+        body = data.tobytes()
+        out += [body[i:j] for i, j in zip(edges[0::2], edges[1::2])]
+    return out
+
+
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A zstandard dictionary of about `size` bytes trained on samples; of too few for the trainer, the last bytes of the samples themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(samples)[-size:]
+
+
+def _windows(words: list[bytes], size: int, step: int) -> list[bytes]:
+    """Windows of `size` words, `step` apart, so that neighbours share words and a phrase of a few words lies whole in some window."""
+    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, max(1, len(words) - size + step), step) if words]
 
 
 class Meter:
@@ -77,14 +85,13 @@ class Meter:
 
     def __init__(self, model: ToxicityModel) -> None:
         self.model = model
-        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=14, hash_log=14, chain_log=14, search_log=3, min_match=6, write_content_size=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=16, hash_log=15, chain_log=15, search_log=4, min_match=6, write_content_size=False, write_dict_id=False)
         self.toxic, self.ordinary = [
             zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress for c in (model.toxic, model.ordinary)
         ]
 
     def windows(self, text: str | None) -> tuple[list[bytes], list[int]]:
-        words, n = _words(text), self.model.window_words
-        parts = [b" " + b" ".join(words[i : i + n]) + b" " for i in range(0, len(words), n)]
+        parts = _windows(_words(text), self.model.window_words, self.model.step_words)
         toxic, ordinary = self.toxic, self.ordinary
         return parts, [len(ordinary(p)) - len(toxic(p)) for p in parts]
 
@@ -125,14 +132,17 @@ def _sampled(docs: DataFrame, labels: DataFrame, train: Column, rows: int, chars
     return [(r["t"], int(r["toxic"] > 0)) for r in taken.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "t").limit(2 * rows).collect()]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int = 4000, chars: int = 16384, runs: int = 96, base_words: int = 400) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int = 4000, chars: int = 16384, toxic_bytes: int = 1024, ordinary_bytes: int = 16384, ratio: float = 15.0, least: int = 6) -> ToxicityModel:
     """Dictionaries and calibration from a bounded sample: at most `rows` labelled rows, `chars` characters of each.
 
-    `labels` has (doc_id, toxic); rows where `train` holds take part, repeated ids with their highest label. The dictionary of
-    ordinary text is the `base_words` most common words, after padding; that of toxic text holds them at the same distance from a
-    window, and before them up to `runs` byte runs of toxic texts that ordinary ones lack. To calibrate, dictionaries of one half of the
-    sample are tried on the other, so that the score is not measured on texts that made the dictionaries; the final ones
-    are of the whole sample. With one class only, or no rows, every score is that class's smoothed share.
+    `labels` has (doc_id, toxic); rows where `train` holds take part, repeated ids with their highest label. zstandard's trainer makes the
+    ordinary dictionary of windows of ordinary texts, and the toxic one of what toxic texts say unlike ordinary ones (`_unlike`): trained on whole
+    windows, of which a few words at most are toxic, it would hold ordinary text. A window is compressed with the toxic dictionary in front of the
+    ordinary one, and with padding of the same length in its place, so that only the toxic one makes a difference.
+
+    Thresholds are calibrated across two halves of the sample: each half is measured with dictionaries of the other, so no text is measured with
+    a dictionary that it was trained on; the final dictionaries are of the whole sample. With one class only, or no rows, every
+    score is that class's smoothed share.
     """
     sample = _sampled(docs, labels, train, rows, chars)
     n, positive = len(sample), sum(y for _, y in sample)
@@ -141,18 +151,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int =
     if not 0 < positive < n:
         return ToxicityModel(b" ", b" ", flat)
 
-    def trained(rows: list[tuple[str, int]]) -> ToxicityModel:
-        toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
-        common = Counter(w for t in ordinary for w in _words(t))
-        base = b" ".join(sorted(sorted(common, key=lambda w: (-common[w], w))[:base_words], key=lambda w: (common[w], w)))
-        told = b"\n".join(_telling(toxic, ordinary, runs))
-        return ToxicityModel(told + b" " + base + b" ", b"#" * len(told) + b" " + base + b" ", flat)
-
-    meter = Meter(trained(sample[0::2]))
-    x = np.array([meter.features(meter.windows(t)[1]) for t, _ in sample[1::2]])
-    y = np.array([v for _, v in sample[1::2]], dtype=float)
+    def trained(part: list[tuple[str, int]]) -> ToxicityModel:
+        toxic, ordinary = [t for t, y in part if y], [t for t, y in part if not y]
+        if not toxic or not ordinary:
+            return ToxicityModel(b" ", b" ", flat)
+        base = _trained([w for t in ordinary for w in _windows(_words(t), 8, 8)], ordinary_bytes, 64)
+        told = _trained(_unlike(toxic, ordinary, ratio, min(least, 1 + len(toxic) // 8)), toxic_bytes, 16)
+        return ToxicityModel(told + base, b"#" * len(told) + base, flat)
+
+    halves = sample[0::2], sample[1::2]
+    meters = Meter(trained(halves[1])), Meter(trained(halves[0]))
+    x = np.array([m.features(m.windows(t)[1]) for m, half in zip(meters, halves) for t, _ in half])
+    y = np.array([v for half in halves for _, v in half], dtype=float)
     final = trained(sample)
-    return ToxicityModel(final.toxic, final.ordinary, tuple(map(float, _logistic(x, y))) if 0 < y.sum() < len(y) else flat)
+    return ToxicityModel(final.toxic, final.ordinary, tuple(map(float, _logistic(x, y))))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -180,7 +192,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of `docs`, with all their columns, that `score_toxicity` does not predict as toxic."""
+    """The rows of `docs`, with all their columns, that `score_toxicity` does not predict as toxic.
+
+    Null and empty texts have no evidence and stay, unless the labels are mostly toxic; rows that repeat stay or go alike; no rows give no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

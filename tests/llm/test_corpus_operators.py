@@ -452,6 +452,8 @@ def test_toxicity(spark, nothing):
     got = {x["doc_id"]: x for x in score_toxicity(docs, model).collect()}
     test = [(got[i]["predicted"], y) for i, _, y in rows if held(i)]
     assert sum(p == y for p, y in test) / len(test) > 0.9
+    long = spark.createDataFrame([(1, " ".join(word() for _ in range(60_000))), (1, " ".join(word() for _ in range(30_000)) + " nitwit blockhead" * 400)] * 2, "doc_id long, text string")
+    assert [x["score"] > 0.5 for x in score_toxicity(long, model).orderBy("score").collect()] == [False, False, True, True]
     assert got[900]["score"] == got[901]["score"] < 0.5 and got[900]["worst"] is None
     kept = drop_toxic(docs, model)
     assert kept.columns == docs.columns and kept.where("doc_id >= 900").count() == 2 and kept.count() < 340
