@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reprise.llm.runindex import WINDOW, RunIndex, segments, window_hashes
+from reprise.llm.positional import small
+from reprise.llm.runindex import FINE, WINDOW, RunIndex, segments
 from reprise.plans.lineage import cut
 
-#: An anchor with more different segments than this is resolved window by window, in shards of its windows.
+#: An anchor with more different segments than this is dealt again by longer anchors, which split its contexts.
 MANY = 256
 #: Strings of at most so many bytes go into one index.
 SHARD = 1 << 18
@@ -21,7 +24,7 @@ MARKED = 12 << 20
 #: Stands for a null id; such rows come first.
 NULL_ID = -(1 << 63)
 
-_SEGMENT, _DONE, _STRINGS, _WINDOWS = 0, 1, 2, 3
+_SEGMENT, _DONE, _STRINGS, _HOT = 0, 1, 2, 3
 _ROW = "part int, kind int, blob binary"
 
 
@@ -48,11 +51,11 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _xxh64(v: np.ndarray) -> np.ndarray:
-    """XXH64 with seed 42 of 64-bit integers, as Spark's xxhash64 of one long column."""
+def _xxh64(v: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of 64-bit integers, each with a seed of its own, as Spark's xxhash64 of one long column."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    h = np.full(len(v), 42 + 8, dtype=np.uint64) + p5
+    h = seed + p5 + np.uint64(8)
     h ^= turn(v.astype(np.uint64) * p2, 31) * p1
     h = turn(h, 27) * p1 + p4
     h = (h ^ (h >> np.uint64(33))) * p2
@@ -60,8 +63,10 @@ def _xxh64(v: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _bucket(ids: np.ndarray, parts: int) -> np.ndarray:
-    return np.mod(_xxh64(ids.astype(np.int64).view(np.uint64)).view(np.int64), parts)
+def _bucket(ids: np.ndarray, ties: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of each document, as Spark's pmod(xxhash64(id, tie), parts)."""
+    one = _xxh64(ids.astype(np.int64).view(np.uint64), np.full(len(ids), 42, np.uint64))
+    return np.mod(_xxh64(ties.astype(np.int64).view(np.uint64), one).view(np.int64), parts)
 
 
 def _split(part: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -93,7 +98,7 @@ def _flushed(rows: Iterator[tuple[int, int, bytes]], limit: int = 4 << 20) -> It
 
 
 def _by_bucket(found: Iterator[tuple], parts: int, limit: int = 1 << 18) -> Iterator[tuple[int, int, bytes]]:
-    """(kind, doc, more columns) put together over many parts, then dealt by the document's bucket.
+    """(kind, doc, tie, more columns) put together over many parts, then dealt by the document's bucket.
 
     A task so sends each bucket a few rows, not one for each of its parts.
     """
@@ -102,8 +107,8 @@ def _by_bucket(found: Iterator[tuple], parts: int, limit: int = 1 << 18) -> Iter
 
     def out():
         for kind, rows in held.items():
-            doc, *rest = (np.concatenate(c) for c in zip(*rows))
-            yield from _split(_bucket(doc, parts), kind, doc, *rest)
+            doc, tie, *rest = (np.concatenate(c) for c in zip(*rows))
+            yield from _split(_bucket(doc, tie, parts), kind, doc, tie, *rest)
 
     for kind, *columns in found:
         if not len(columns[0]):
@@ -116,27 +121,27 @@ def _by_bucket(found: Iterator[tuple], parts: int, limit: int = 1 << 18) -> Iter
     yield from out()
 
 
-def _firsts(group: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which rows stand at their group's least (id, place)."""
-    order = np.lexsort((places, ids, group))
-    g, i, p = group[order], ids[order], places[order]
-    new = np.r_[True, g[1:] != g[:-1]]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-    out = np.empty(len(g), bool)
-    out[order] = (i == i[head]) & (p == p[head])
+def _firsts(groups: list[np.ndarray], ids: np.ndarray, ties: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which rows stand at the least (id, tie, place) of their group, which all of `groups` tell apart."""
+    order = np.lexsort((places, ties, ids, *groups))
+    i, t, p = ids[order], ties[order], places[order]
+    new = np.r_[True, np.logical_or.reduce([g[order][1:] != g[order][:-1] for g in groups])]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    out = np.empty(len(order), bool)
+    out[order] = (i == i[head]) & (t == t[head]) & (p == p[head])
     return out
 
 
-def _runs(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows at (id, place) as (id, start, length) of the byte runs that windows in a row cover."""
+def _runs(ids: np.ndarray, ties: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows at (id, tie, place) as (id, tie, start, length) of the byte runs that windows in a row cover."""
     if not len(ids):
-        return ids, places, places
-    order = np.lexsort((places, ids))
-    ids, places = ids[order], places[order]
-    new = np.r_[True, (ids[1:] != ids[:-1]) | (places[1:] > places[:-1] + 1)]
+        return ids, ties, places, places
+    order = np.lexsort((places, ties, ids))
+    ids, ties, places = ids[order], ties[order], places[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1]) | (places[1:] > places[:-1] + 1)]
     at = np.flatnonzero(new)
     last = np.r_[at[1:], len(ids)] - 1
-    return ids[at], places[at], places[last] - places[at] + WINDOW
+    return ids[at], ties[at], places[at], places[last] - places[at] + WINDOW
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
@@ -160,18 +165,19 @@ def _joined(blobs: list[bytes]) -> list[np.ndarray]:
 def _mark(parts: int):
     """Segments of each batch of documents, dealt by anchor; those that the batch has seen before are done."""
     def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
-        ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        order = np.argsort(ids, kind="stable")
-        texts = [(batch.column(1)[int(i)].as_py() or "").encode() for i in order]
-        text, anchor, content, start, span = segments(texts)
+        ids, ties = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in (0, 1))
+        order = np.lexsort((ties, ids))
+        texts = [(batch.column(2)[int(i)].as_py() or "").encode() for i in order]
+        text, anchor, content, check, start, span = segments(texts)
         if not len(text):
             return
-        doc = ids[order][text]
-        key = anchor ^ (content * np.uint64(0x9E3779B97F4A7C15))
-        first = _firsts(key, doc, start)
+        doc, tie = ids[order][text], ties[order][text]
+        first = _firsts([content, check], doc, tie, start)
         rest = ~first
-        yield from _split(np.full(int(rest.sum()), int(ids[0]) % parts), _DONE, doc[rest], start[rest], span[rest] + WINDOW)
-        yield from _split((anchor[first] >> np.uint64(20)).astype(np.int64) % parts, _SEGMENT, anchor[first], content[first], doc[first], start[first], span[first])
+        yield from _split(np.full(int(rest.sum()), int(ids[0]) % parts), _DONE, doc[rest], tie[rest], start[rest], span[rest] + WINDOW)
+        # Within a part 32 bits of the anchor tell its groups apart well enough: two in one group only share an index.
+        part, anchor = (anchor >> np.uint64(20)).astype(np.int64) % parts, (anchor >> np.uint64(32)).astype(np.int64)
+        yield from _split(part[first], _SEGMENT, anchor[first], content[first], check[first], doc[first], tie[first], start[first], span[first])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,21 +192,21 @@ def _mark(parts: int):
 def _classify(parts: int):
     """Of each anchor's segments: repeated contents are done, and where contents differ the first of each goes on."""
     def found(batches) -> Iterator[tuple]:
-        for _, held in _by_part(batches):
+        for part, held in _by_part(batches):
             for blob in held.get(_DONE, []):
                 yield _DONE, *_unpack(blob)
             if _SEGMENT not in held:
                 continue
-            anchor, content, doc, start, span = _joined(held[_SEGMENT])
-            first = _firsts(anchor ^ (content * np.uint64(0x9E3779B97F4A7C15)), doc, start)
+            anchor, content, check, doc, tie, start, span = _joined(held[_SEGMENT])
+            first = _firsts([content, check], doc, tie, start)
             rest = ~first
-            yield _DONE, doc[rest], start[rest], span[rest] + WINDOW
-            anchor, content, doc, start, span = (c[first] for c in (anchor, content, doc, start, span))
+            yield _DONE, doc[rest], tie[rest], start[rest], span[rest] + WINDOW
+            anchor, doc, tie, start, span = (c[first] for c in (anchor, doc, tie, start, span))
             _, inverse, counts = np.unique(anchor, return_inverse=True, return_counts=True)
             shared = counts[inverse]
             few, many = (shared > 1) & (shared <= MANY), shared > MANY
-            yield _STRINGS, doc[few], start[few], span[few], anchor[few]
-            yield _WINDOWS, doc[many], start[many], span[many]
+            yield _STRINGS, doc[few], tie[few], start[few], span[few], anchor[few], np.full(int(few.sum()), part)
+            yield _HOT, doc[many], tie[many], start[many], span[many]
 
     return lambda batches: _flushed(_by_bucket(found(batches), parts))
 
@@ -225,46 +231,45 @@ class _Lookup:
     def __init__(self) -> None:
         self.bucket, self.columns = None, {}
 
-    def __call__(self, bucket: int, held: dict, kind: int, doc: int) -> list[np.ndarray] | None:
+    def __call__(self, bucket: int, held: dict, kind: int, doc: int, tie: int) -> list[np.ndarray] | None:
         if bucket != self.bucket:
             self.bucket, self.columns = bucket, {}
             for k, blobs in held.items():
                 columns = _joined(blobs)
-                order = np.argsort(columns[0], kind="stable")
-                self.columns[k] = [c[order] for c in columns]
-        columns = self.columns.get(kind)
-        if columns is None:
-            return None
-        a, b = np.searchsorted(columns[0], [doc, doc + 1]) if doc < (1 << 63) - 1 else (np.searchsorted(columns[0], doc), len(columns[0]))
-        return [c[a:b] for c in columns[1:]] if b > a else None
+                order = np.lexsort((columns[1], columns[0]))
+                columns = [c[order] for c in columns]
+                at = np.flatnonzero(np.r_[True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])
+                spans = zip(columns[0][at].tolist(), columns[1][at].tolist(), at.tolist(), [*at[1:].tolist(), len(order)])
+                self.columns[k] = {(d, t): (a, b) for d, t, a, b in spans}, columns[2:]
+        places, columns = self.columns.get(kind, ({}, []))
+        a, b = places.get((doc, tie), (0, 0))
+        return [c[a:b] for c in columns] if b > a else None
 
 
 def _fetch(parts: int):
-    """The bytes of segments that wait for an index, dealt by anchor, and the hashes of windows that are resolved one by one."""
+    """The bytes of segments that wait for an index, dealt by anchor; those of a hot anchor are cut into finer segments, dealt by their longer anchors."""
     def rows(batches) -> Iterator[tuple[int, int, bytes]]:
         lookup = _Lookup()
         for bucket, held, row, batch in _streamed(batches):
             if not held:
                 continue
-            doc = batch.column(3)[row].as_py()
-            strings, windows = lookup(bucket, held, _STRINGS, doc), lookup(bucket, held, _WINDOWS, doc)
-            if strings is None and windows is None:
+            doc, tie = batch.column(3)[row].as_py(), batch.column(4)[row].as_py()
+            strings, hot = lookup(bucket, held, _STRINGS, doc, tie), lookup(bucket, held, _HOT, doc, tie)
+            if strings is None and hot is None:
                 continue
-            text = (batch.column(4)[row].as_py() or "").encode()
+            text = (batch.column(5)[row].as_py() or "").encode()
+            found = []
             if strings is not None:
-                start, span, anchor = strings
-                part = (anchor.astype(np.uint64) >> np.uint64(20)).astype(np.int64) % parts
-                for p in np.unique(part):
-                    at = np.flatnonzero((part == p) & (start + span + WINDOW <= len(text)))
-                    if len(at):
-                        head = _pack(anchor[at].astype(np.uint64), np.full(len(at), doc), start[at], span[at])
-                        yield int(p), _STRINGS, len(head).to_bytes(8, "little") + head + b"".join(text[s : s + n + WINDOW] for s, n in zip(start[at], span[at]))
-            if windows is not None:
-                good = windows[0] + windows[1] + WINDOW <= len(text)
-                pairs = [(window_hashes(text, int(s), int(n)), np.arange(s, s + n + 1)) for s, n in zip(windows[0][good], windows[1][good])]
-                if pairs:
-                    hashes, places = np.concatenate([h for h, _ in pairs]), np.concatenate([p for _, p in pairs])
-                    yield from _split((hashes[:, 0] >> np.uint64(20)).astype(np.int64) % parts, _WINDOWS, hashes[:, 0], hashes[:, 1], np.full(len(places), doc), places)
+                found.append(strings)
+            if hot is not None:
+                pieces = [text[s : s + n + WINDOW] for s, n in zip(hot[0].tolist(), hot[1].tolist())]
+                piece, anchor, _, _, start, span = segments(pieces, FINE)
+                found.append([hot[0][piece] + start, span, (anchor >> np.uint64(32)).astype(np.int64), (anchor >> np.uint64(20)).astype(np.int64) % parts])
+            start, span, anchor, part = (np.concatenate(c) for c in zip(*found))
+            for p in np.unique(part):
+                at = np.flatnonzero(part == p)
+                head = _pack(anchor[at], np.full(len(at), doc), np.full(len(at), tie), start[at], span[at])
+                yield int(p), _STRINGS, len(head).to_bytes(8, "little") + head + b"".join(text[s : s + n + WINDOW] for s, n in zip(start[at], span[at]))
 
     return lambda batches: _flushed(_grouped(rows(batches)))
 
@@ -298,9 +303,18 @@ def _apart(blobs: list[bytes]) -> Iterator[bytes]:
 
 def _index(parts: int):
     """Run-length indexes over the strings of each part; windows that an earlier place matches are done."""
-    def resolve(anchor, doc, start, strings):
-        """Byte runs to remove, from indexes of whole anchor groups of about SHARD bytes."""
-        order = np.lexsort((start, doc, anchor))
+    def resolve(anchor, doc, tie, start, strings):
+        """Windows to remove, from indexes of whole anchor groups of about SHARD bytes; of strings that repeat, only the first is indexed."""
+        seen: dict[bytes, int] = {}
+        keep = []
+        for i in np.lexsort((start, tie, doc, anchor)).tolist():
+            first = seen.setdefault(strings[i], i)
+            if first == i:
+                keep.append(i)
+            elif (doc[i], tie[i], start[i]) != (doc[first], tie[first], start[first]):  # a row that repeats has one verdict
+                n = len(strings[i]) - WINDOW + 1
+                yield np.full(n, doc[i]), np.full(n, tie[i]), np.arange(start[i], start[i] + n)
+        order = np.array(keep)
         sizes = np.array([len(strings[i]) for i in order])
         new = np.r_[True, anchor[order][1:] != anchor[order][:-1]]
         groups = np.flatnonzero(new)
@@ -309,32 +323,24 @@ def _index(parts: int):
             g = np.flatnonzero(shard == s)
             a, b = groups[g[0]], groups[g[-1] + 1] if g[-1] + 1 < len(groups) else len(order)
             own = order[a:b]
-            index = RunIndex([strings[i] for i in own])
-            string, place, match = index.stream(np.arange(len(own)), np.zeros(len(own), np.int64))
-            ids, at = doc[own][string], start[own][string] + place
-            rest = ~_firsts(match, ids, at)
-            yield ids[rest], at[rest]
+            string, place, match = RunIndex([strings[i] for i in own]).stream()
+            ids, ties, at = doc[own][string], tie[own][string], start[own][string] + place
+            rest = ~_firsts([match], ids, ties, at)
+            yield ids[rest], ties[rest], at[rest]
 
     def removed(batches) -> Iterator[tuple]:
         for _, held in _by_part(batches):
-            found = []
-            if _STRINGS in held:
-                columns, strings = [], []
-                for blob in _apart(held[_STRINGS]):
-                    n = int.from_bytes(blob[:8], "little")
-                    columns.append(_unpack(blob[8 : 8 + n]))
-                    at = 8 + n
-                    for span in columns[-1][3]:
-                        strings.append(blob[at : at + int(span) + WINDOW])
-                        at += int(span) + WINDOW
-                anchor, doc, start, _ = (np.concatenate(c) for c in zip(*columns))
-                found += resolve(anchor, doc, start, strings)
-            if _WINDOWS in held:
-                one, two, doc, place = _joined(list(_apart(held[_WINDOWS])))
-                rest = ~_firsts(one ^ (two * np.uint64(0x9E3779B97F4A7C15)), doc, place)
-                found.append((doc[rest], place[rest]))
-            if found:
-                yield _DONE, *_runs(*(np.concatenate(c) for c in zip(*found)))
+            columns, strings = [], []
+            for blob in _apart(held[_STRINGS]):
+                n = int.from_bytes(blob[:8], "little")
+                columns.append(_unpack(blob[8 : 8 + n]))
+                at = 8 + n
+                for span in columns[-1][4]:
+                    strings.append(blob[at : at + int(span) + WINDOW])
+                    at += int(span) + WINDOW
+            anchor, doc, tie, start, _ = (np.concatenate(c) for c in zip(*columns))
+            found = list(resolve(anchor, doc, tie, start, strings))
+            yield _DONE, *_runs(*(np.concatenate(c) for c in zip(*found)))
 
     return lambda batches: _flushed(_by_bucket(removed(batches), parts))
 
@@ -373,7 +379,7 @@ def _remove(as_text: bool, names: list[str]):
             rows, sizes, kept, spans = zip(*taken)
             body = pa.array([k.decode() for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             spans = pa.array([[{"start": int(a), "end": int(b)} for a, b in zip(*s)] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            return pa.RecordBatch.from_arrays([batch.column(5).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), body, spans], names)
+            return pa.RecordBatch.from_arrays([batch.column(6).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), body, spans], names)
 
         last, size = None, 0
         for bucket, held, row, batch in _streamed(batches):
@@ -381,8 +387,8 @@ def _remove(as_text: bool, names: list[str]):
                 if found:
                     yield out(last, found)
                 found, last, size = [], batch, 0
-            data = (batch.column(4)[row].as_py() or "").encode()
-            done = lookup(bucket, held, _DONE, batch.column(3)[row].as_py()) if held else None
+            data = (batch.column(5)[row].as_py() or "").encode()
+            done = lookup(bucket, held, _DONE, batch.column(3)[row].as_py(), batch.column(4)[row].as_py()) if held else None
             starts, ends = _merged(*done, len(data)) if done is not None else (np.zeros(0, np.int64),) * 2
             if as_text:
                 starts, ends = _whole(data, starts, ends)
@@ -396,9 +402,17 @@ def _remove(as_text: bool, names: list[str]):
 
 
 def _parts(docs: DataFrame) -> int:
-    """Shards for half a MB of text each; beyond a GB, more slowly, for 64 MB each."""
+    """Shards for about a MB of text each up to a GB, and in the measure of the square root beyond: 32 MB each at a TB."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(max(64, min(total // (512 << 10), 2048 + total // (64 << 20))))
+    return int(max(64, min(total >> 19, 1024 * math.sqrt(total / (1 << 29)))))
+
+
+def _ties(rows: DataFrame) -> DataFrame:
+    """`rows` (id, text and others) with `tie`: 0 where all rows of an id have one text, else the rank of the row's text among those of its id."""
+    known = rows.select("id", F.xxhash64("text").alias("h")).distinct()
+    shared = known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    ranked = cut(known.join(shared, "id").select("id", "h", F.row_number().over(W.partitionBy("id").orderBy("h")).cast("long").alias("tie")))
+    return rows.withColumn("h", F.xxhash64("text")).join(small(ranked), ["id", "h"], "left").withColumn("tie", F.coalesce("tie", F.lit(0).cast("long"))).drop("h")
 
 
 def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
@@ -406,38 +420,40 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
 
     Every byte goes that lies in a 100-byte string of its text (as UTF-8) that also starts earlier: in a smaller doc_id, or in the same
     one at a smaller start. Strings are judged on the input; overlaps count. row is the whole input row, kept the remaining
-    bytes, spans the maximal removed runs. With `as_text`, characters that a run holds in part stay and kept is a string.
+    bytes, spans the maximal removed runs. With `as_text`, characters that a run holds in part stay and kept is a string (empty for a null text).
 
     1. Each 100-byte window is assigned its minimal 24-byte string. Windows in a row with one such anchor make a segment;
        segments are dealt by anchor, as packed columns, after each batch has dropped those that it holds twice.
-    2. Of one anchor, a segment whose content stands earlier goes as a whole. Where contents differ, their first segments are
-       fetched from the texts and put into run-length BWT indexes, shard by shard. Streaming each string through its
-       index gives the matching statistics up to 100; of the places of one match all but the earliest go.
-    3. An anchor of more than MANY contents, such as a common line, is dealt again by the 128-bit hashes of its windows,
-       which are many and spread evenly.
+    2. Segments of one content, which 128 bits of hash tell apart, have one match: the earliest stays and the others go as a whole. Where an anchor has
+       several contents, their strings are fetched from the texts and put into run-length BWT indexes, shard by shard.
+       Streaming each string through its index, with matching statistics that start from the samples at run ends, tells
+       which places match for 100 bytes; of the places of one match all but the earliest go.
+    3. The segments of an anchor of more than MANY contents, such as a common line, are cut again by the minimal 96-byte strings of their
+       windows and dealt by these, so that its contexts spread over many shards; they go through indexes like the others.
 
     Equal windows have equal anchors, so no match is lost. Null texts are empty. Texts under 100 bytes lose nothing. A null id comes before all.
-    Ids are taken to be unique: rows of one id count as one document, each losing what any of them repeats at that place.
+    Rows that share an id, or have none, are documents of their own, in the order of a hash of their texts; rows that repeat both id and text are one document
+    and lose alike. No rows give no rows.
     """
+    rest = F.struct(*docs.columns)
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     parts = _parts(docs)
-    known = docs.select(ids.alias("id"), "text")
-    dealt = known.mapInArrow(_mark(parts), _ROW).repartition("part").sortWithinPartitions("part")
+    docs = _ties(docs.select(ids.alias("id"), F.col("text").alias("text"), rest.alias("row")))
+    dealt = docs.select("id", "tie", "text").mapInArrow(_mark(parts), _ROW).repartition("part").sortWithinPartitions("part")
     state = cut(dealt.mapInArrow(_classify(parts), _ROW))
-    bucket = F.pmod(F.xxhash64(ids), F.lit(parts)).cast("int").alias("part")
-    rest = F.struct(*docs.columns)
-    blank = [F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text")]
+    bucket = F.pmod(F.xxhash64("id", "tie"), F.lit(parts)).cast("int").alias("part")
+    none = lambda kind: F.lit(None).cast(kind)
 
     def streamed(blobs: DataFrame, row) -> DataFrame:
-        kind = docs.select(row).schema[0].dataType
-        rows = docs.select(bucket, F.lit(-1).alias("kind"), F.lit(None).cast("binary").alias("blob"), ids.alias("id"), F.col("text"), row)
-        both = blobs.select("part", "kind", "blob", *blank, F.lit(None).cast(kind).alias("row")).unionByName(rows)
+        kind = docs.select(row.alias("row")).schema["row"].dataType
+        rows = docs.select(bucket, F.lit(-1).alias("kind"), none("binary").alias("blob"), "id", "tie", "text", row.alias("row"))
+        both = blobs.select("part", "kind", "blob", none("long").alias("id"), none("long").alias("tie"), none("string").alias("text"), none(kind).alias("row")).unionByName(rows)
         return both.repartition("part").sortWithinPartitions("part", F.col("kind").desc())
 
     waiting = state.where(F.col("kind") > _DONE)
-    fetched = streamed(waiting, F.lit(None).cast("int").alias("row")).mapInArrow(_fetch(parts), _ROW)
+    fetched = streamed(waiting, none("int")).mapInArrow(_fetch(parts), _ROW)
     resolved = fetched.repartition("part").sortWithinPartitions("part").mapInArrow(_index(parts), _ROW)
     done = state.where(F.col("kind") == _DONE).union(resolved)
-    kind = docs.select(rest.alias("row")).schema[0].dataType.simpleString()
+    kind = docs.schema["row"].dataType.simpleString()
     body = "string" if as_text else "binary"
-    return streamed(done, rest.alias("row")).mapInArrow(_remove(as_text, ["row", "n_bytes", "kept", "spans"]), f"row {kind}, n_bytes long, kept {body}, spans array<struct<start:long,end:long>>")
+    return streamed(done, F.col("row")).mapInArrow(_remove(as_text, ["row", "n_bytes", "kept", "spans"]), f"row {kind}, n_bytes long, kept {body}, spans array<struct<start:long,end:long>>")

@@ -6,8 +6,8 @@ import numpy as np
 
 #: Length in bytes of the strings that count as repeated.
 WINDOW = 100
-#: Length in bytes of an anchor.
-ANCHOR = 24
+#: Length in bytes of an anchor, and of the longer one that splits an anchor of many contexts.
+ANCHOR, FINE = 24, 96
 #: Texts are worked on in pieces of at most this many bytes.
 PIECE = 1 << 18
 
@@ -23,13 +23,16 @@ def _mix(a: np.ndarray, b: np.ndarray, m: np.uint64) -> np.ndarray:
     return h
 
 
-def _hashes(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Hashes of the 8-, 16- and ANCHOR-byte strings at each place, by length."""
+def _hashes(data: np.ndarray, anchor: int = ANCHOR) -> dict[int, np.ndarray]:
+    """Hashes of the 8-, 16- and `anchor`-byte strings at each place, by length."""
     h = {1: (data.astype(np.uint64) + np.uint64(1)) * _ODD}
     for k, m in zip((1, 2, 4, 8), _MULTIPLIERS):
         h[2 * k] = _mix(h[k][: len(h[k]) - k], h[k][k:], m)
-    n = len(data) - ANCHOR + 1
-    h[ANCHOR] = _mix(h[16][:n], h[8][16 : 16 + n], _MULTIPLIERS[4])
+    n = len(data) - anchor + 1
+    own = h[16][:n]
+    for at in [*range(16, anchor - 16, 16), anchor - 16]:
+        own = _mix(own, h[16][at : at + n], _MULTIPLIERS[4])
+    h[anchor] = own
     return h
 
 
@@ -43,40 +46,40 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, anchor, content, start, span) of every segment of some texts, in order.
+def segments(texts: list[bytes], length: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(text, anchor, content, check, start, span) of every segment of some texts, in order.
 
-    The anchor of a 100-byte window is its ANCHOR-byte string of the least hash, the first of equals. Windows in a row that
+    The anchor of a 100-byte window is its string of `length` bytes of the least hash, the first of equals. Windows in a row that
     have the same anchor at the same place make a segment: `span` + 1 windows, from the byte `start` on. Windows that are equal
-    have anchors that are equal, at the same distance. anchor is the hash of that string and content that of all the
-    segment's bytes with the anchor's distance, so segments of one content have equal windows in equal order.
+    have anchors that are equal, at the same distance. anchor is the hash of that string; content and check together are 128 bits of hash over
+    all the segment's bytes and the anchor's distance, so segments that agree in both have equal windows in equal order.
     """
     parts, block, size = [], [], 0
     for k, text in enumerate(texts):
         for at in range(0, max(0, len(text) - WINDOW + 1), PIECE):
             piece = text[at : at + PIECE + WINDOW - 1]
             if size and size + len(piece) > PIECE + WINDOW:
-                parts.append(_block(block))
+                parts.append(_block(block, length))
                 block, size = [], 0
             block.append((k, at, piece))
             size += len(piece)
     if block:
-        parts.append(_block(block))
+        parts.append(_block(block, length))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none, none
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def _block(pieces: list[tuple[int, int, bytes]]):
+def _block(pieces: list[tuple[int, int, bytes]], length: int):
     """Segments of pieces (text, offset in it, bytes), all long enough, worked on as one array."""
     data = np.frombuffer(b"".join(p for _, _, p in pieces), dtype=np.uint8)
     sizes = np.array([len(p) for _, _, p in pieces], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
-    h = _hashes(data)
-    own = h[ANCHOR]
+    h = _hashes(data, length)
+    own = h[length]
     low = np.uint64((1 << 20) - 1)
-    least = (_least((own & ~low) | np.arange(len(own), dtype=np.uint64), WINDOW - ANCHOR + 1) & low).astype(np.int64)
+    least = (_least((own & ~low) | np.arange(len(own), dtype=np.uint64), WINDOW - length + 1) & low).astype(np.int64)
     windows = sizes - WINDOW + 1
     inside = np.concatenate([np.arange(b, b + w) for b, w in zip(begins, windows)]) if len(pieces) > 1 else np.arange(windows[0])
     mine = least[inside]
@@ -84,47 +87,37 @@ def _block(pieces: list[tuple[int, int, bytes]]):
     first = inside[new]
     last = inside[np.r_[np.flatnonzero(new)[1:], len(inside)] - 1]
     anchor = mine[new]
-    content = _mix(own[anchor], (anchor - first).astype(np.uint64), _MULTIPLIERS[0])
-    content = _mix(content, (last - first).astype(np.uint64), _MULTIPLIERS[1])
-    for step in (0, 16, 32, 48, 64, 80, 84):  # the first window, then what the last one adds to it
-        content = _mix(content, h[16][first + step], _MULTIPLIERS[2])
-    for step in (16, 32, 48, 64, 80, 84):
-        content = _mix(content, h[16][last + step], _MULTIPLIERS[3])
+    found = []
+    for m in (_MULTIPLIERS[2], _MULTIPLIERS[3]):
+        content = _mix(_mix(own[anchor], (anchor - first).astype(np.uint64), m), (last - first).astype(np.uint64), _MULTIPLIERS[1])
+        for step in (0, 16, 32, 48, 64, 80, 84):  # the first window, then what the last one adds to it
+            content = _mix(content, h[16][first + step], m)
+        for step in (16, 32, 48, 64, 80, 84):
+            content = _mix(content, h[16][last + step], m)
+        found.append(content)
     piece = np.searchsorted(begins, first, side="right") - 1
     text = np.array([k for k, _, _ in pieces], dtype=np.int64)[piece]
     offset = np.array([a for _, a, _ in pieces], dtype=np.int64)[piece]
-    return text, own[anchor], content, first - begins[piece] + offset, last - first
-
-
-def window_hashes(text: bytes, start: int, span: int) -> np.ndarray:
-    """128-bit hashes of the windows of one segment, as two columns."""
-    data = np.frombuffer(text[start : start + span + WINDOW], dtype=np.uint8)
-    block, n = _hashes(data)[16], span + 1
-    pair = []
-    for m in _MULTIPLIERS[:2]:
-        h = np.full(n, m, dtype=np.uint64)
-        for step in (0, 16, 32, 48, 64, 80, 84):
-            h = _mix(h, block[step : step + n], m)
-        pair.append(h)
-    return np.stack(pair, axis=1)
+    return text, own[anchor], *found, first - begins[piece] + offset, last - first
 
 
 class RunIndex:
-    """A run-length Burrows-Wheeler index of many short strings, with the suffix array sampled at run ends.
+    """A run-length Burrows-Wheeler index of many short strings, with the suffix array sampled at both ends of each run.
 
     Each string ends in a mark of its own, in the order of the strings. Kept are the runs of the transform (their
-    symbol, first row and how many of that symbol stand before), where each symbol's rows begin, the samples, and the rows at
-    which the prefixes of WINDOW bytes change. The suffix array itself is dropped once these are taken from it.
+    symbol, first row and how many of that symbol stand before), where each symbol's rows begin, the samples and the strings. The suffix
+    array itself is dropped once these are taken from it.
     """
 
     def __init__(self, strings: list[bytes]) -> None:
         sizes = np.array([len(s) for s in strings], dtype=np.int64)
         self.count, self.sizes = len(strings), sizes
         ends = np.cumsum(sizes + 1) - 1
-        symbols = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8).astype(np.int64) + self.count
+        self.data = np.frombuffer(b"\0".join(strings) + b"\0" * 9, dtype=np.uint8)
+        symbols = self.data[: ends[-1] + 1].astype(np.int64) + self.count
         symbols[ends] = np.arange(self.count)
-        self.starts = ends - sizes
-        order, changes = self._sorted(symbols)
+        self.starts, self.ends = ends - sizes, ends
+        order = self._sorted(symbols)
         before = symbols[order - 1]  # of the first string, the last mark
         heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
         self.heads, self.symbols = heads, before[heads]
@@ -137,16 +130,13 @@ class RunIndex:
         self.rank[by_symbol] = summed
         totals = np.bincount(symbols, minlength=self.count + 256)
         self.first = np.cumsum(totals) - totals
-        self.samples = order[np.r_[heads[1:], len(before)] - 1]
-        self.changes = np.flatnonzero(changes)
+        self.tops, self.bottoms = order[heads], order[np.r_[heads[1:], len(before)] - 1]
 
-    def _sorted(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix array, by prefix doubling, and where the prefixes of WINDOW symbols change."""
+    def _sorted(self, symbols: np.ndarray) -> np.ndarray:
+        """The suffix array, by prefix doubling; marks differ, so it ends once the prefixes are as long as the strings."""
         n = len(symbols)
-        rank, width, base = symbols, 1, None
+        rank, width = symbols, 1
         while True:
-            if width == WINDOW - 4:
-                base = rank
             nxt = np.r_[rank[width:], np.zeros(min(width, n), np.int64)][:n]
             key = (rank.astype(np.uint64) << np.uint64(32)) | nxt.astype(np.uint64)
             if width == 1:  # three symbols at once
@@ -155,13 +145,11 @@ class RunIndex:
             order = np.argsort(key, kind="stable")
             ordered = key[order]
             new = np.r_[True, ordered[1:] != ordered[:-1]]
+            if new.all():
+                return order
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new) - 1
             width = 3 if width == 1 else 2 * width
-            if width > WINDOW - 4 and new.all() or width > 2 * WINDOW:
-                break
-        a, b = base[order], base[np.minimum(order + 4, n - 1)]
-        return order, np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
 
     def step(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row the symbol before its suffix, and the row of the suffix that begins with it."""
@@ -169,36 +157,55 @@ class RunIndex:
         symbol = self.symbols[run]
         return symbol, self.first[symbol] + self.rank[run] + rows - self.heads[run]
 
-    def stream(self, pick: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(string, place, class) of every place of the picked strings with WINDOW bytes to go, streamed from right to left.
-
-        All strings step together, from the rows of their end marks. Places of one class match for WINDOW bytes or more: no
-        change of prefix lies between their rows. Places before `skip` are left out.
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at the places `a` and `b` of the strings have in common, up to their strings' ends."""
+        most = np.minimum(*[self.ends[np.searchsorted(self.ends, x)] - x for x in (a, b)])
+        words = np.lib.stride_tricks.sliding_window_view(self.data, 8)
+        out, left = np.zeros(len(a), np.int64), np.arange(len(a))
+        while len(left):
+            differ = words[a[left] + out[left]] != words[b[left] + out[left]]
+            any_, at = differ.any(axis=1), differ.argmax(axis=1)
+            out[left] += np.where(any_, at, 8)
+            left = left[~any_ & (out[left] < most[left])]
+        return np.minimum(out, most)
+
+    def matching_lengths(self) -> np.ndarray:
+        """For each place of the strings, marks included, the length of its match with the suffix one row above: matching statistics of the strings against themselves.
+
+        Only where a run begins is a length found by comparing bytes, between the sample at its first row and that at the last row of the run
+        above. Elsewhere the same symbol stands before both suffixes, so the match is that of the place before, less one byte.
         """
-        rows, places = pick.copy(), self.sizes[pick].copy()
-        active = np.arange(len(pick))
+        n = int(self.ends[-1]) + 1
+        at = np.zeros(n, bool)
+        known = np.zeros(n, np.int64)
+        at[self.tops] = True
+        known[self.tops[1:]] = self._common(self.tops[1:], self.bottoms[:-1])
+        place = np.arange(n)
+        last = np.maximum.accumulate(np.where(at, place, -1))
+        return np.where(last >= 0, known[last] - (place - last), 0)
+
+    def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string, place, class) of every place of the strings with WINDOW bytes to go, streamed through the transform from right to left.
+
+        All strings step together, from the rows of their end marks, and each place is met with its row and matching length. Places of one class
+        match for WINDOW bytes or more: no shorter match stands between their rows.
+        """
+        lengths = self.matching_lengths()
+        rows, places = np.arange(self.count), self.sizes.copy()
+        active = np.arange(self.count)
         found = []
         while len(active):
-            active = active[places[active] > skip[active]]
+            active = active[places[active] > 0]
             _, rows[active] = self.step(rows[active])
             places[active] -= 1
-            ready = active[places[active] <= self.sizes[pick[active]] - WINDOW]
+            ready = active[places[active] <= self.sizes[active] - WINDOW]
             if len(ready):
-                found.append((pick[ready], places[ready], np.searchsorted(self.changes, rows[ready], side="right")))
+                found.append((ready, places[ready], rows[ready], lengths[self.starts[ready] + places[ready]]))
         if not found:
             none = np.zeros(0, np.int64)
             return none, none, none
-        return tuple(np.concatenate(c) for c in zip(*found))
-
-    def locate(self, row: int) -> tuple[int, int]:
-        """(string, place) of the suffix in a row: steps to the left until a run ends, where the suffix array is sampled."""
-        steps, total = 0, int(self.sizes.sum()) + self.count
-        while True:
-            run = int(np.searchsorted(self.heads, row, side="right")) - 1
-            end = (int(self.heads[run + 1]) if run + 1 < len(self.heads) else total) - 1
-            if row == end:
-                at = (int(self.samples[run]) + steps) % total
-                string = int(np.searchsorted(self.starts, at, side="right")) - 1
-                return string, at - int(self.starts[string])
-            row = int(self.step(np.array([row]))[1][0])
-            steps += 1
+        string, place, row, length = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(row, kind="stable")
+        match = np.empty(len(row), np.int64)
+        match[order] = np.cumsum(length[order] < WINDOW)
+        return string, place, match

@@ -311,22 +311,40 @@ def test_repeats_of_a_line_in_many_contexts(spark):
         assert (x["n_bytes"], bytes(x["kept"]), len(x["spans"])) == want[x["row"]["doc_id"]]
 
 
+def test_repeats_of_shared_and_null_ids(spark):
+    from reprise.llm.repeats import remove_repeats
+
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("abcdefghij klmno") for _ in range(n))
+    passage = noise(150)
+    texts = [(2, noise(40) + passage), (2, noise(300)), (1, passage), (None, noise(200)), (None, noise(220)), (5, passage + "x"), (5, passage + "x"), (6, noise(30))]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, tie int").withColumn("id", F.lit("clash"))
+    got = {x["row"]["tie"]: bytes(x["kept"]).decode() for x in remove_repeats(df.repartition(3)).collect()}
+    assert got == {0: texts[0][1][:40], 1: texts[1][1], 2: passage, 3: texts[3][1], 4: texts[4][1], 5: "x", 6: "x", 7: texts[7][1]}
+
+
 def test_run_index():
     from reprise.llm.runindex import WINDOW, RunIndex
 
     r = random.Random(2)
     base = bytes(r.choice(b"ab") for _ in range(150))
-    strings = [base, base[10:160] + b"zz", base[5:], bytes(r.choice(b"ab") for _ in range(130))]
+    strings = [base, base[10:160] + b"zz", base[5:], bytes(r.choice(b"ab") for _ in range(130)), b"a" * 177, b"a" * 120]
     index = RunIndex(strings)
-    assert len(index.heads) == len(index.samples) < sum(map(len, strings))
-    string, place, match = index.stream(np.arange(4), np.zeros(4, np.int64))
+    assert len(index.heads) == len(index.tops) == len(index.bottoms) < sum(map(len, strings))
+    whole = b"".join(s + bytes([1 + k]) for k, s in enumerate(strings))  # marks in the order of the strings, below all else
+    suffixes = sorted(range(len(whole)), key=lambda i: whole[i:])
+    lengths = index.matching_lengths()
+    for above, i in zip(suffixes, suffixes[1:]):
+        n = 0
+        while whole[above + n : above + n + 1] == whole[i + n : i + n + 1] != b"":
+            n += 1
+        assert lengths[i] == n
+    string, place, match = index.stream()
     classes = {}
     for s, p, m in zip(string, place, match):
         classes.setdefault(m, set()).add(strings[s][p : p + WINDOW])
     assert all(len(v) == 1 for v in classes.values()) and len(set.union(*classes.values())) == len(classes)
     assert len(string) == sum(max(0, len(s) - WINDOW + 1) for s in strings)
-    rows = index.first[index.count + strings[0][-1]]
-    assert 0 <= index.locate(int(rows))[0] < 4
 
 
 # ---- 5 URLs ------------------------------------------------------------------------------------------------------
