@@ -250,55 +250,42 @@ def _fetch(parts: int):
     """The bytes of segments that wait for an index, dealt by anchor; those of a hot anchor are cut into finer segments, dealt by their longer anchors."""
     def rows(batches) -> Iterator[tuple[int, int, bytes]]:
         lookup = _Lookup()
+        found, strings, size = [], [], 0
         for bucket, held, row, batch in _streamed(batches):
             if not held:
                 continue
             doc, tie = batch.column(3)[row].as_py(), batch.column(4)[row].as_py()
-            strings, hot = lookup(bucket, held, _STRINGS, doc, tie), lookup(bucket, held, _HOT, doc, tie)
-            if strings is None and hot is None:
+            few, hot = lookup(bucket, held, _STRINGS, doc, tie), lookup(bucket, held, _HOT, doc, tie)
+            if few is None and hot is None:
                 continue
             text = (batch.column(5)[row].as_py() or "").encode()
-            found = []
-            if strings is not None:
-                found.append(strings)
+            own = [few] if few is not None else []
             if hot is not None:
                 pieces = [text[s : s + n + WINDOW] for s, n in zip(hot[0].tolist(), hot[1].tolist())]
                 piece, anchor, _, _, start, span = segments(pieces, FINE)
-                found.append([hot[0][piece] + start, span, (anchor >> np.uint64(32)).astype(np.int64), (anchor >> np.uint64(20)).astype(np.int64) % parts])
-            start, span, anchor, part = (np.concatenate(c) for c in zip(*found))
-            for p in np.unique(part):
-                at = np.flatnonzero(part == p)
-                head = _pack(anchor[at], np.full(len(at), doc), np.full(len(at), tie), start[at], span[at])
-                yield int(p), _STRINGS, len(head).to_bytes(8, "little") + head + b"".join(text[s : s + n + WINDOW] for s, n in zip(start[at], span[at]))
-
-    return lambda batches: _flushed(_grouped(rows(batches)))
-
-
-def _grouped(rows: Iterator[tuple[int, int, bytes]], limit: int = 12 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """Blobs of one part and kind put together, up to some total size, so that few rows are shuffled."""
-    held: dict[tuple[int, int], list[bytes]] = {}
-    size = 0
-
-    def out():
-        for (part, kind), blobs in held.items():
-            yield part, kind, b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+                own.append([hot[0][piece] + start, span, (anchor >> np.uint64(32)).astype(np.int64), (anchor >> np.uint64(20)).astype(np.int64) % parts])
+            for start, span, anchor, part in own:
+                found.append((part, anchor, np.full(len(start), doc), np.full(len(start), tie), start, span))
+                strings += [text[s : s + n] for s, n in zip(start.tolist(), (span + WINDOW).tolist())]
+                size += int(span.sum()) + WINDOW * len(span)
+            if size >= 4 << 20:
+                yield from _strings(found, strings)
+                found, strings, size = [], [], 0
+        if found:
+            yield from _strings(found, strings)
 
-    for part, kind, blob in rows:
-        held.setdefault((part, kind), []).append(blob)
-        size += len(blob) + 100
-        if size >= limit:
-            yield from out()
-            held, size = {}, 0
-    yield from out()
+    return lambda batches: _flushed(rows(batches))
 
 
-def _apart(blobs: list[bytes]) -> Iterator[bytes]:
-    for blob in blobs:
-        at = 0
-        while at < len(blob):
-            n = int.from_bytes(blob[at : at + 8], "little")
-            yield blob[at + 8 : at + 8 + n]
-            at += 8 + n
+def _strings(found: list[tuple], strings: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """One row for each part: its columns (anchor, doc, tie, start, span), and then the bytes of its strings."""
+    part, *columns = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+    for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
+        own = order[a:b]
+        head = _pack(*[c[own] for c in columns])
+        yield int(part[own[0]]), _STRINGS, len(head).to_bytes(8, "little") + head + b"".join([strings[i] for i in own.tolist()])
 
 
 def _index(parts: int):
@@ -331,13 +318,13 @@ def _index(parts: int):
     def removed(batches) -> Iterator[tuple]:
         for _, held in _by_part(batches):
             columns, strings = [], []
-            for blob in _apart(held[_STRINGS]):
+            for blob in held[_STRINGS]:
                 n = int.from_bytes(blob[:8], "little")
                 columns.append(_unpack(blob[8 : 8 + n]))
                 at = 8 + n
-                for span in columns[-1][4]:
-                    strings.append(blob[at : at + int(span) + WINDOW])
-                    at += int(span) + WINDOW
+                for span in columns[-1][4].tolist():
+                    strings.append(blob[at : at + span + WINDOW])
+                    at += span + WINDOW
             anchor, doc, tie, start, _ = (np.concatenate(c) for c in zip(*columns))
             found = list(resolve(anchor, doc, tie, start, strings))
             yield _DONE, *_runs(*(np.concatenate(c) for c in zip(*found)))

@@ -117,7 +117,7 @@ class RunIndex:
         symbols = self.data[: ends[-1] + 1].astype(np.int64) + self.count
         symbols[ends] = np.arange(self.count)
         self.starts, self.ends = ends - sizes, ends
-        order = self._sorted(symbols)
+        order = self._sorted()
         before = symbols[order - 1]  # of the first string, the last mark
         heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
         self.heads, self.symbols = heads, before[heads]
@@ -132,24 +132,30 @@ class RunIndex:
         self.first = np.cumsum(totals) - totals
         self.tops, self.bottoms = order[heads], order[np.r_[heads[1:], len(before)] - 1]
 
-    def _sorted(self, symbols: np.ndarray) -> np.ndarray:
-        """The suffix array, by prefix doubling; marks differ, so it ends once the prefixes are as long as the strings."""
-        n = len(symbols)
-        rank, width = symbols, 1
-        while True:
+    def _sorted(self) -> np.ndarray:
+        """The suffix array, by prefix doubling from seven symbols on; marks differ, so it ends once the prefixes are as long as the strings."""
+        n, width = int(self.ends[-1]) + 1, 7
+        symbols = self.data[:n].astype(np.uint64) + np.uint64(1)
+        symbols[self.ends] = 0
+        padded = np.r_[symbols, np.zeros(width, np.uint64)]
+        key = np.zeros(n, np.uint64)
+        ended = np.zeros(n, bool)
+        for i in range(width):  # what stands behind a mark does not count: the mark decides
+            key = (key << np.uint64(9)) | np.where(ended, np.uint64(0), padded[i : i + n])
+            ended |= padded[i : i + n] == 0
+        order = np.argsort(key, kind="stable")  # equal ones that hold a mark stay in the order of their strings
+        ordered = key[order]
+        new = np.r_[True, (ordered[1:] != ordered[:-1]) | ended[order][1:]]
+        while not new.all():
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new) - 1
             nxt = np.r_[rank[width:], np.zeros(min(width, n), np.int64)][:n]
-            key = (rank.astype(np.uint64) << np.uint64(32)) | nxt.astype(np.uint64)
-            if width == 1:  # three symbols at once
-                after = np.r_[symbols[2:], np.zeros(min(2, n), np.int64)][:n]
-                key = (rank.astype(np.uint64) << np.uint64(42)) | (nxt.astype(np.uint64) << np.uint64(21)) | after.astype(np.uint64)
-            order = np.argsort(key, kind="stable")
+            key = (rank << 32) | nxt
+            order = np.argsort(key)
             ordered = key[order]
             new = np.r_[True, ordered[1:] != ordered[:-1]]
-            if new.all():
-                return order
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
-            width = 3 if width == 1 else 2 * width
+            width *= 2
+        return order
 
     def step(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row the symbol before its suffix, and the row of the suffix that begins with it."""
