@@ -13,15 +13,20 @@ from reprise.llm.positional import agreeing, document_frequencies, small, stands
 from reprise.plans.lineage import cut
 
 
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(unit, item_id, words) of each distinct item of `benchmark` (item_id, text) that has words."""
+    items = benchmark.select("item_id", alnum_words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
+    return items.select(F.xxhash64("item_id", "words").alias("unit"), "item_id", "words")
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """(unit, item_id, start, t): the windows of each distinct item of `benchmark` (item_id, text); t holds the words.
+    """(unit, start, t): the windows of each distinct item of `benchmark` (item_id, text); t holds the words.
 
     A window is `window` consecutive words; an item of fewer words, but not none, is one window. Null texts have none.
     """
-    items = benchmark.select("item_id", alnum_words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     n = F.size("words")
-    rows = items.select(F.xxhash64("item_id", "words").alias("unit"), "item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start"))
-    return rows.select("unit", "item_id", "start", F.slice("words", F.col("start") + 1, window).alias("t"))
+    rows = benchmark_items(benchmark).select("unit", "words", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start"))
+    return rows.select("unit", "start", F.slice("words", F.col("start") + 1, window).alias("t"))
 
 
 def rare_anchors(windows: DataFrame, frequencies: DataFrame, terms: int = 3) -> DataFrame:
@@ -33,14 +38,18 @@ def rare_anchors(windows: DataFrame, frequencies: DataFrame, terms: int = 3) ->
 
 def _verified(found: Column, ws: Column, window: int, slop: int, least: int) -> Column:
     """struct<n_words, hits, near> of a row's words: which of its candidates hold."""
-    place = lambda c: c["shift"] + c["start"]
-    hit = lambda c: [c["item_id"].alias("item_id"), place(c).alias("doc_start"), c["start"].alias("item_start"), F.size(c["t"]).alias("len")]
-    exact = F.filter(found, lambda c: stands(ws, place(c), c["t"]))
-    beside = lambda c, w, i: reduce(or_, [F.get(ws, (place(c) + i + d).cast("int")).eqNullSafe(w) for d in range(-slop, slop + 1)])
+    spread = lambda c: F.transform(c["starts"], lambda s: F.struct(c["item_id"].alias("item_id"), (c["shift"] + s).alias("doc_start"), s.alias("item_start"), F.slice(c["words"], s + 1, window).alias("t")))
+    beside = lambda c, w, i: reduce(or_, [F.get(ws, (c["doc_start"] + i + d).cast("int")).eqNullSafe(w) for d in range(-slop, slop + 1)])
     matched = lambda c: F.size(F.filter(c["t"], lambda w, i: beside(c, w, i)))
-    rest = F.filter(found, lambda c: (F.size(c["t"]) == window) & ~stands(ws, place(c), c["t"]))
-    near = F.filter(F.transform(rest, lambda c: F.struct(*hit(c), matched(c).alias("matched"))), lambda h: h["matched"] >= least)
-    return F.struct(F.size(ws).cast("long").alias("n_words"), F.transform(exact, lambda c: F.struct(*hit(c))).alias("hits"), near.alias("near"))
+    hit = lambda c: [c["item_id"].alias("item_id"), c["doc_start"].alias("doc_start"), c["item_start"].alias("item_start"), F.size(c["t"]).alias("len")]
+
+    def judged(candidates: Column) -> Column:
+        exact = F.filter(candidates, lambda c: stands(ws, c["doc_start"], c["t"]))
+        rest = F.filter(candidates, lambda c: (F.size(c["t"]) == window) & ~stands(ws, c["doc_start"], c["t"]))
+        near = F.filter(F.transform(rest, lambda c: F.struct(*hit(c), matched(c).alias("matched"))), lambda h: h["matched"] >= least)
+        return F.struct(F.size(ws).cast("long").alias("n_words"), F.transform(exact, lambda c: F.struct(*hit(c))).alias("hits"), near.alias("near"))
+
+    return let(F.flatten(F.transform(found, spread)), judged)
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2, least: int = 8) -> DataFrame:
@@ -66,8 +75,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     found = agreeing(docs, lookups, slop)
     met = found.join(small(terms), ["unit", "k"]).withColumn("present", F.filter("anchors", lambda a: F.array_contains("near", a)))
     met = met.where((F.size("present") >= F.least(F.lit(2), F.size("anchors"))) & (F.element_at("present", 1) == F.col("k")))
-    candidate = F.struct("item_id", "start", "shift", "t")
-    candidates = cut(met.groupBy("h1", "h2").agg(F.collect_set(candidate).alias("found")))
+    items = small(cut(benchmark_items(benchmark)))
+    at = met.groupBy("h1", "h2", "unit", "shift").agg(F.collect_set("start").alias("starts")).join(items, "unit")
+    candidates = cut(at.groupBy("h1", "h2").agg(F.collect_list(F.struct("item_id", "shift", "words", "starts")).alias("found")))
     none = F.array().cast(candidates.schema["found"].dataType)
     rows = with_candidates(docs, candidates).select("row", let(alnum_words(F.col("body")), lambda ws: _verified(F.coalesce("found", none), ws, window, slop, least)).alias("v"))
     return rows.select("row", "v.n_words", "v.hits", "v.near")

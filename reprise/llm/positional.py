@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reprise.llm.common import alnum_words, row_keys
 
 #: A broadcast side may have so many bytes as JSON; beyond that the same join shuffles.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

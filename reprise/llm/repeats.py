@@ -168,7 +168,7 @@ def _mark(parts: int):
         ids, ties = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in (0, 1))
         order = np.lexsort((ties, ids))
         texts = [(batch.column(2)[int(i)].as_py() or "").encode() for i in order]
-        text, anchor, content, check, start, span = segments(texts)
+        text, anchor, content, check, left, right, start, span = segments(texts)
         if not len(text):
             return
         doc, tie = ids[order][text], ties[order][text]
@@ -177,7 +177,7 @@ def _mark(parts: int):
         yield from _split(np.full(int(rest.sum()), int(ids[0]) % parts), _DONE, doc[rest], tie[rest], start[rest], span[rest] + WINDOW)
         # Within a part 32 bits of the anchor tell its groups apart well enough: two in one group only share an index.
         part, anchor = (anchor >> np.uint64(20)).astype(np.int64) % parts, (anchor >> np.uint64(32)).astype(np.int64)
-        yield from _split(part[first], _SEGMENT, anchor[first], content[first], check[first], doc[first], tie[first], start[first], span[first])
+        yield from _split(part[first], _SEGMENT, anchor[first], content[first], check[first], left[first], right[first], doc[first], tie[first], start[first], span[first])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,19 +189,27 @@ def _mark(parts: int):
     return run
 
 
+def _met(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which rows have a side that another row of their anchor has too."""
+    _, inverse, counts = np.unique((anchor << 16) | side, return_inverse=True, return_counts=True)
+    return (side > 0) & (counts[inverse] > 1)
+
+
 def _classify(parts: int):
-    """Of each anchor's segments: repeated contents are done, and where contents differ the first of each goes on."""
+    """Of each anchor's segments: repeated contents are done, and of different ones with a side in common the first of each goes on."""
     def found(batches) -> Iterator[tuple]:
         for part, held in _by_part(batches):
             for blob in held.get(_DONE, []):
                 yield _DONE, *_unpack(blob)
             if _SEGMENT not in held:
                 continue
-            anchor, content, check, doc, tie, start, span = _joined(held[_SEGMENT])
+            anchor, content, check, left, right, doc, tie, start, span = _joined(held[_SEGMENT])
             first = _firsts([content, check], doc, tie, start)
             rest = ~first
             yield _DONE, doc[rest], tie[rest], start[rest], span[rest] + WINDOW
-            anchor, doc, tie, start, span = (c[first] for c in (anchor, doc, tie, start, span))
+            anchor, left, right, doc, tie, start, span = (c[first] for c in (anchor, left, right, doc, tie, start, span))
+            met = _met(anchor, left) | _met(anchor, right)  # the others share no window with any
+            anchor, doc, tie, start, span = (c[met] for c in (anchor, doc, tie, start, span))
             _, inverse, counts = np.unique(anchor, return_inverse=True, return_counts=True)
             shared = counts[inverse]
             few, many = (shared > 1) & (shared <= MANY), shared > MANY
@@ -262,7 +270,7 @@ def _fetch(parts: int):
             own = [few] if few is not None else []
             if hot is not None:
                 pieces = [text[s : s + n + WINDOW] for s, n in zip(hot[0].tolist(), hot[1].tolist())]
-                piece, anchor, _, _, start, span = segments(pieces, FINE)
+                piece, anchor, _, _, _, _, start, span = segments(pieces, FINE)
                 own.append([hot[0][piece] + start, span, (anchor >> np.uint64(32)).astype(np.int64), (anchor >> np.uint64(20)).astype(np.int64) % parts])
             for start, span, anchor, part in own:
                 found.append((part, anchor, np.full(len(start), doc), np.full(len(start), tie), start, span))
@@ -412,7 +420,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     1. Each 100-byte window is assigned its minimal 24-byte string. Windows in a row with one such anchor make a segment;
        segments are dealt by anchor, as packed columns, after each batch has dropped those that it holds twice.
     2. Segments of one content, which 128 bits of hash tell apart, have one match: the earliest stays and the others go as a whole. Where an anchor has
-       several contents, their strings are fetched from the texts and put into run-length BWT indexes, shard by shard.
+       several contents that agree for half a window's length on one side of it, their strings are fetched from the texts and put into run-length BWT indexes, shard by shard.
        Streaming each string through its index, with matching statistics that start from the samples at run ends, tells
        which places match for 100 bytes; of the places of one match all but the earliest go.
     3. The segments of an anchor of more than MANY contents, such as a common line, are cut again by the minimal 96-byte strings of their

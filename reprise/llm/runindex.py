@@ -47,12 +47,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text, anchor, content, check, start, span) of every segment of some texts, in order.
+    """(text, anchor, content, check, left, right, start, span) of every segment of some texts, in order.
 
     The anchor of a 100-byte window is its string of `length` bytes of the least hash, the first of equals. Windows in a row that
     have the same anchor at the same place make a segment: `span` + 1 windows, from the byte `start` on. Windows that are equal
     have anchors that are equal, at the same distance. anchor is the hash of that string; content and check together are 128 bits of hash over
-    all the segment's bytes and the anchor's distance, so segments that agree in both have equal windows in equal order.
+    all the segment's bytes and the anchor's distance, so segments that agree in both have equal windows in equal order. left and right are 16 bits of
+    hash over the half of a window's other bytes that stand before the anchor, and behind it; 0 where the segment has fewer. Two segments that
+    share a window agree in one of these, since the window holds one half or the other.
     """
     parts, block, size = [], [], 0
     for k, text in enumerate(texts):
@@ -67,7 +69,7 @@ def segments(texts: list[bytes], length: int = ANCHOR) -> tuple[np.ndarray, ...]
         parts.append(_block(block, length))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
@@ -95,10 +97,18 @@ def _block(pieces: list[tuple[int, int, bytes]], length: int):
         for step in (16, 32, 48, 64, 80, 84):
             content = _mix(content, h[16][last + step], m)
         found.append(content)
+    half, sides = (WINDOW - length) // 2, []
+    for at, whole in ((anchor - half, anchor - half >= first), (anchor + length, anchor + length + half <= last + WINDOW)):
+        key = np.zeros(len(first), np.int64)
+        if half >= 32:
+            at = at[whole]
+            side = _mix(_mix(h[16][at], h[16][at + 16], _MULTIPLIERS[2]), h[16][at + half - 16], _MULTIPLIERS[3])
+            key[whole] = (side >> np.uint64(48)).astype(np.int64) % 65535 + 1
+        sides.append(key)
     piece = np.searchsorted(begins, first, side="right") - 1
     text = np.array([k for k, _, _ in pieces], dtype=np.int64)[piece]
     offset = np.array([a for _, a, _ in pieces], dtype=np.int64)[piece]
-    return text, own[anchor], *found, first - begins[piece] + offset, last - first
+    return text, own[anchor], *found, *sides, first - begins[piece] + offset, last - first
 
 
 class RunIndex:
