@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reprise.llm.common import row_keys
+from reprise.llm.positional import small
 from reprise.plans.components import connected_components
 from reprise.plans.lineage import cut
 
@@ -18,6 +19,8 @@ from reprise.plans.lineage import cut
 MAX_BITS = 3
 #: Segments of 32 bits that candidates for near copies are looked up by, one wildcard each; even.
 SEGMENTS = 6
+#: After the first turn, so many more of them; the last one takes all candidates.
+TURNS = 2
 #: Candidates for near copies differ in at most so many of 64 further bits; texts that have nothing in common differ in about 32.
 SKETCH_BITS = 16
 #: Buckets of more fingerprints than this are not compared within; they are cut further.
@@ -233,55 +236,80 @@ def _node(words: list[bytes]) -> int:
     return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), 42), "big", signed=True)
 
 
-def _bucket_mates(similar: int, chain: bool):
-    """Pairs inside buckets of rows (key, node, sketch, component) that come sorted by key and node, as (key, src, dst, sketch, component).
+def _parities(size: int):
+    """(node, n, p0 to p3) of rows (node, text): the size of the text's shingle set, and the parity of how many shingles fall to each of 256 places.
 
-    A pair is one whose sketches differ in at most `similar` bits and whose components differ; its key is null. With `chain`, only neighbours of a bucket
-    are paired, and the rows of buckets of three or more leave as they are too, since not all of their pairs were seen.
+    Places whose parities differ hold a shingle that one of two sets lacks, so their number bounds the sets' Jaccard from above.
     """
-    names = ["key", "src", "dst", "sketch", "component"]
-    kinds = [pa.int64()] * 5
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_hashes(_words(t.as_py()), size) for t in batch.column(1)]
+            odd = [np.packbits(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64) for h in sets]
+            odd = np.stack(odd) if odd else np.zeros((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(4)]], ["node", "n", "p0", "p1", "p2", "p3"])
+
+    return run
+
+
+def _bucket_mates(similar: int, each: bool, similarity: float):
+    """Pairs (src, dst) inside buckets of rows (key, node, sketch, component, and n, p0 to p3 of `_parities` or none of them) that come sorted by key.
 
-    def met(i, j, rows):
-        _, node, sketch, comp = rows
+    A pair is one whose sketches differ in at most `similar` bits, whose components differ and whose parities allow the similarity. With `each`, all of them leave; else, for every
+    row that has such a mate, one pair with the first of them, so that a bucket of any size leaves at most one pair for each row.
+    """
+    def pairs(i, j, node):
+        a, b = node[i], node[j]
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["src", "dst"])
+
+    def near(i, j, sketch, comp, n=None, *odd):
         keep = comp[i] != comp[j]
         i, j = i[keep], j[keep]
         keep = _differing(sketch[i], sketch[j]) <= similar
-        a, b = node[i[keep]], node[j[keep]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1]), *[pa.nulls(pairs.shape[1], pa.int64())] * 2], names)
+        i, j = i[keep], j[keep]
+        if n is not None:
+            apart = sum(_differing(p[i], p[j]).astype(np.int64) for p in odd)
+            keep = apart <= (n[i] + n[j]) * (1 - similarity) / (1 + similarity) + 1e-6
+            i, j = i[keep], j[keep]
+        return i, j
 
     def whole(rows):
-        key = rows[0]
+        key, node, *facts = rows
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[first, len(key)])
-        end, size, at = np.repeat(first + sizes, sizes), np.repeat(sizes, sizes), np.arange(len(key))
-        if chain:
-            i = at[at + 1 < end]
-            yield met(i, i + 1, rows)
-            rest = size >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(key[rest]), pa.array(rows[1][rest]), pa.nulls(int(rest.sum()), pa.int64()), pa.array(rows[2][rest].view(np.int64)), pa.array(rows[3][rest])], names)
-            return
-        for lag in range(1, 65):
-            i = at[(at + lag < end) & (size <= 64)]
-            if not len(i):
+        begin, end, size, at = np.repeat(first, sizes), np.repeat(first + sizes, sizes), np.repeat(sizes, sizes), np.arange(len(key))
+        met = np.zeros(len(key), bool)
+        left = at[(size >= 2) & (size <= 64)]
+        for p in range(64):  # the row at place p of each bucket with those behind it
+            left = left[begin[left] + p < end[left] - 1]
+            j = left[left > begin[left] + p]
+            if not len(j):
                 break
-            yield met(i, i + lag, rows)
-        for f, m in zip(first[sizes > 64], sizes[sizes > 64]):
-            order = f + np.argsort(rows[3][f : f + m], kind="stable")  # those of one component stand together and are passed over
-            comp = rows[3][order]
-            stops = np.searchsorted(comp, comp, side="right")
-            for a, stop in enumerate(stops.tolist()):
-                if stop < m:
-                    yield met(np.full(m - stop, order[a]), order[stop:], rows)
+            i, j = near(begin[j] + p, j, *facts)
+            if not each:
+                new = ~met[i] | ~met[j]
+                i, j = i[new], j[new]
+                met[i] = met[j] = True
+            yield pairs(i, j, node)
+        for f, m in zip(first[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
+            own = np.arange(f, f + m)
+            for i in own.tolist():
+                if not each and met[i]:
+                    continue
+                _, j = near(np.full(m, i), own, *facts)
+                if not each and len(j):
+                    j = j if i == f else j[:1]
+                    met[i] = met[j] = True
+                if len(j):
+                    yield pairs(np.full(len(j), i), j, node)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, sketch, comp = [np.asarray(c) for c in batch.columns]
-            held.append([key, node, sketch.view(np.uint64), comp])
+            key, node, sketch, comp, *facts = [np.asarray(c) for c in batch.columns]
+            held.append([key, node, sketch.view(np.uint64), comp, *facts[:1], *[p.view(np.uint64) for p in facts[1:]]])
             if key[0] == key[-1] and held[0][0][0] == key[0]:
                 continue  # one bucket so far
             rows = [np.concatenate(c) for c in zip(*held)]
@@ -294,13 +322,14 @@ def _bucket_mates(similar: int, chain: bool):
     return run
 
 
-_MATES = "key long, src long, dst long, sketch long, component long"
-
-
-def _met(rows: DataFrame, chain: bool) -> DataFrame:
-    """What `_bucket_mates` finds in `rows` (key, node, sketch, component)."""
-    dealt = rows.select("key", "node", "sketch", "component").repartition("key").sortWithinPartitions("key", "node")
-    return cut(dealt.mapInArrow(_bucket_mates(SKETCH_BITS, chain), _MATES))
+def _candidates(nodes: DataFrame, turn: int, similarity: float, each: bool = False) -> DataFrame:
+    """(src, dst) of `nodes` (node, fps, component, perhaps n and p0 to p3) that meet by a one-wildcard variant of a segment; `turn` sets the order within buckets."""
+    facts = ["component", *[c for c in ("n", "p0", "p1", "p2", "p3") if c in nodes.columns]]
+    variants = nodes.select("node", "fps", *facts, F.explode(F.sequence(F.lit(0), F.lit(32 * SEGMENTS - 1))).alias("k"))
+    held = "(CAST(k AS LONG) << 32) | (shiftrightunsigned(get(fps, CAST(k DIV 64 AS INT)), 32 * CAST(k DIV 32 % 2 AS INT)) & 4294967295L & ~shiftleft(1L, CAST(k % 32 AS INT)))"
+    rows = variants.select(F.expr(held).alias("key"), "node", F.expr(f"get(fps, {SEGMENTS // 2})").alias("sketch"), *facts)
+    dealt = rows.repartition("key").sortWithinPartitions("key", F.xxhash64(F.lit(turn), "node") if turn else F.col("node"))
+    return cut(dealt.mapInArrow(_bucket_mates(SKETCH_BITS, each, similarity), "src long, dst long").distinct())
 
 
 def _verified(known: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
@@ -319,7 +348,7 @@ def _verified(known: DataFrame, pairs: DataFrame, similarity: float, size: int)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     a, b = known.select(F.col("node").alias("src"), F.col("text").alias("a")), known.select(F.col("node").alias("dst"), F.col("text").alias("b"))
-    met = pairs.distinct().join(b, "dst").join(a, "src").select("src", "dst", "a", "b").sortWithinPartitions("src")
+    met = pairs.join(b, "dst").join(a, "src").select("src", "dst", "a", "b").sortWithinPartitions("src")
     return cut(met.mapInArrow(judge, "src long, dst long"))
 
 
@@ -331,8 +360,10 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
     of each group: the least by id, null last, then by hash; rows that repeat it are marked alike.
 
     Candidates share a one-wildcard variant of one of SEGMENTS 32-bit segments of a SimHash of the set of words, so a segment of the two differs by
-    one bit at most, and differ in at most SKETCH_BITS of 64 further bits. Variants meet by an equality shuffle. A first round pairs neighbours within a bucket, so
-    that a large group of near copies leaves few pairs for the second, which takes all pairs of a bucket that are not yet in one component.
+    one bit at most, and differ in at most SKETCH_BITS of 64 further bits. Variants meet by an equality shuffle. A row that has candidates is verified against
+    one of them, and what passes is put together; the same again in another order, between components; then all candidates that are still in different
+    components. A bound on the Jaccard from the parities of the shingles' counts leaves out pairs that cannot
+    have it. So a large group of near copies leaves few pairs in each turn, and no candidate is passed over.
 
     Texts of the same words are one node. Null and blank texts are copies of each other; texts of fewer than `size` words are linked to
     copies only. Ids may be null or shared: rows are told apart by id and text. No rows give no rows; only `doc_id` and `text` are read.
@@ -349,21 +380,19 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
     signed = cut(rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, node long, fps array<long>"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     nodes = cut(signed.groupBy("node").agg(F.min(first).alias("rep"), F.first("fps").alias("fps")))
-    variants = nodes.select("node", "fps", F.explode(F.sequence(F.lit(0), F.lit(32 * SEGMENTS - 1))).alias("k"))
-    held = f"(CAST(k AS LONG) << 32) | (shiftrightunsigned(get(fps, CAST(k DIV 64 AS INT)), 32 * CAST(k DIV 32 % 2 AS INT)) & 4294967295L & ~shiftleft(1L, CAST(k % 32 AS INT)))"
-    rows_ = variants.select(F.expr(held).alias("key"), "node", F.expr(f"get(fps, {SEGMENTS // 2})").alias("sketch"), F.col("node").alias("component"))
-    step = _met(rows_, chain=True)
-    pairs, rest = step.where("key IS NULL").select("src", "dst"), step.where("key IS NOT NULL").select("key", F.col("src").alias("node"), "sketch")
-    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(rest.select("node")).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("rep.h1").alias("k1"), F.col("rep.h2").alias("k2"))
+    pairs = _candidates(nodes.select("node", "fps", F.col("node").alias("component")), 0, similarity)
+    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    some = cut(nodes.join(ends, "node").select("node", "fps", F.col("rep.h1").alias("k1"), F.col("rep.h2").alias("k2")))
     texts = docs.select("text", one.alias("k1"), two.alias("k2"))
-    known = cut(texts.join(wanted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]))
-    close = _verified(known, pairs, similarity, size)
-    parts = connected_components(close).withColumnRenamed("id", "node")
-    placed = rest.join(parts, "node", "left").select("key", "node", "sketch", F.coalesce("component", "node").alias("component"))
-    more = _met(placed, chain=False).select("src", "dst")
-    edges = close.union(_verified(known, more, similarity, size))
+    known = cut(texts.join(small(some.select("node", "k1", "k2")), ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]))
+    some = cut(some.select("node", "fps").join(known.mapInArrow(_parities(size), "node long, n long, p0 long, p1 long, p2 long, p3 long"), "node"))
+    edges = _verified(known, pairs, similarity, size)
     parts = connected_components(edges).withColumnRenamed("id", "node")
+    for turn in range(1, TURNS + 1):
+        rest = some.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = _candidates(rest, turn, similarity, each=turn == TURNS)
+        edges = edges.union(_verified(known, pairs, similarity, size))
+        parts = connected_components(edges).withColumnRenamed("id", "node")
     placed = nodes.join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("least"))
     known = placed.join(least, "root").select("node", "least")
