@@ -254,7 +254,9 @@ def _parities(size: int):
 def _bucket_mates(similar: int, each: bool, similarity: float):
     """Pairs (src, dst) inside buckets of rows (key, node, sketch, component, and n, p0 to p3 of `_parities` or none of them) that come sorted by key.
 
-    A pair is one whose sketches differ in at most `similar` bits, whose components differ and whose parities allow the similarity. With `each`, all of them leave; else, for every
+    A pair is one whose sketches differ in at most `similar` bits, whose components differ and whose parities allow the similarity. The last bit of
+    a sketch is the one that the key leaves out: of two whose segments are equal, and which so meet in all 32 buckets of the segment, that of
+    its first bit alone takes the pair. With `each`, all of them leave; else, for every
     row that has such a mate, one pair with the first of them, so that a bucket of any size leaves at most one pair for each row.
     """
     def pairs(i, j, node):
@@ -262,10 +264,10 @@ def _bucket_mates(similar: int, each: bool, similarity: float):
         found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["src", "dst"])
 
-    def near(i, j, sketch, comp, n=None, *odd):
-        keep = comp[i] != comp[j]
+    def near(i, j, key, sketch, comp, n=None, *odd):
+        keep = (comp[i] != comp[j]) & ((((sketch[i] ^ sketch[j]) & np.uint64(1)) > 0) | ((key[i] >> 32) % 32 == 0))
         i, j = i[keep], j[keep]
-        keep = _differing(sketch[i], sketch[j]) <= similar
+        keep = _differing(sketch[i] >> np.uint64(1), sketch[j] >> np.uint64(1)) <= similar
         i, j = i[keep], j[keep]
         if n is not None:
             apart = sum(_differing(p[i], p[j]).astype(np.int64) for p in odd)
@@ -285,7 +287,7 @@ def _bucket_mates(similar: int, each: bool, similarity: float):
             j = left[left > begin[left] + p]
             if not len(j):
                 break
-            i, j = near(begin[j] + p, j, *facts)
+            i, j = near(begin[j] + p, j, key, *facts)
             if not each:
                 new = ~met[i] | ~met[j]
                 i, j = i[new], j[new]
@@ -296,7 +298,7 @@ def _bucket_mates(similar: int, each: bool, similarity: float):
             for i in own.tolist():
                 if not each and met[i]:
                     continue
-                _, j = near(np.full(m, i), own, *facts)
+                _, j = near(np.full(m, i), own, key, *facts)
                 if not each and len(j):
                     j = j if i == f else j[:1]
                     met[i] = met[j] = True
@@ -326,10 +328,14 @@ def _candidates(nodes: DataFrame, turn: int, similarity: float, each: bool = Fal
     """(src, dst) of `nodes` (node, fps, component, perhaps n and p0 to p3) that meet by a one-wildcard variant of a segment; `turn` sets the order within buckets."""
     facts = ["component", *[c for c in ("n", "p0", "p1", "p2", "p3") if c in nodes.columns]]
     variants = nodes.select("node", "fps", *facts, F.explode(F.sequence(F.lit(0), F.lit(32 * SEGMENTS - 1))).alias("k"))
-    held = "(CAST(k AS LONG) << 32) | (shiftrightunsigned(get(fps, CAST(k DIV 64 AS INT)), 32 * CAST(k DIV 32 % 2 AS INT)) & 4294967295L & ~shiftleft(1L, CAST(k % 32 AS INT)))"
-    rows = variants.select(F.expr(held).alias("key"), "node", F.expr(f"get(fps, {SEGMENTS // 2})").alias("sketch"), *facts)
-    dealt = rows.repartition("key").sortWithinPartitions("key", F.xxhash64(F.lit(turn), "node") if turn else F.col("node"))
-    return cut(dealt.mapInArrow(_bucket_mates(SKETCH_BITS, each, similarity), "src long, dst long").distinct())
+    segment = "shiftrightunsigned(get(fps, CAST(k DIV 64 AS INT)), 32 * CAST(k DIV 32 % 2 AS INT))"
+    key = f"(CAST(k AS LONG) << 32) | ({segment} & 4294967295L & ~shiftleft(1L, CAST(k % 32 AS INT)))"
+    sketch = f"(get(fps, {SEGMENTS // 2}) & -2L) | (shiftrightunsigned({segment}, CAST(k % 32 AS INT)) & 1L)"
+    rows = variants.select(F.expr(key).alias("key"), "node", F.expr(sketch).alias("sketch"), *facts)
+    order = lambda c: F.xxhash64(F.lit(turn), c) if turn else F.col(c)
+    dealt = rows.repartition("key").sortWithinPartitions("key", order("node"))
+    found = dealt.mapInArrow(_bucket_mates(SKETCH_BITS, each, similarity), "src long, dst long")
+    return cut(found.distinct())
 
 
 def _verified(known: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
