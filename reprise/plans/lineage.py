@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own only where the session names none."""
+    """The session's checkpoint folder; a folder of our own only where the session names none and runs on this machine alone."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "reprise-checkpoints"))
     return context.getCheckpointDir()
 
