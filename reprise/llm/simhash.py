@@ -392,13 +392,12 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
     texts = docs.select("text", one.alias("k1"), two.alias("k2"))
     known = cut(texts.join(small(some.select("node", "k1", "k2")), ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]))
     some = cut(some.select("node", "fps").join(known.mapInArrow(_parities(size), "node long, n long, p0 long, p1 long, p2 long, p3 long"), "node"))
-    edges = _verified(known, pairs, similarity, size)
-    parts = connected_components(edges).withColumnRenamed("id", "node")
+    parts = connected_components(_verified(known, pairs, similarity, size)).withColumnRenamed("id", "node")
     for turn in range(1, TURNS + 1):
         rest = some.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         pairs = _candidates(rest, turn, similarity, each=turn == TURNS)
-        edges = edges.union(_verified(known, pairs, similarity, size))
-        parts = connected_components(edges).withColumnRenamed("id", "node")
+        stars = parts.select(F.col("node").alias("src"), F.col("component").alias("dst"))  # joins what all links so far do
+        parts = connected_components(stars.union(_verified(known, pairs, similarity, size))).withColumnRenamed("id", "node")
     placed = nodes.join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("least"))
     known = placed.join(least, "root").select("node", "least")
