@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reprise.operators.topics import topic_scores
+
 
 def label_recurrence(sessions: DataFrame, min_members: int = 100, min_episodes: int = 2, min_episode_members: int = 2, keys: tuple[str, ...] = ("cluster_id",)) -> DataFrame:
     """`sessions` with n_member_cluster, n_episode_cluster, n_member_episode and label_berulang.
@@ -47,16 +49,7 @@ def cluster_topics(tokens: DataFrame, top: int = 10, min_docs: int = 2, bigrams:
     terms are words and, with `bigrams`, pairs of neighbours. Clusters of fewer than `min_docs` documents have no topic.
     Ties go to the lesser term.
     """
-    words = F.col("tokens")
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    terms = F.concat(words, pairs) if bigrams else words
-    docs = tokens.groupBy("cluster_id").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    tf = tokens.select("cluster_id", "doc_id", F.explode(terms).alias("term")).groupBy("cluster_id", "doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("cluster_id", "term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, ["cluster_id", "term"]).join(docs, "cluster_id").withColumn("w", F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
-    norm = weighted.groupBy("cluster_id", "doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    sums = weighted.join(norm, ["cluster_id", "doc_id"]).groupBy("cluster_id", "term").agg(F.sum(F.col("w") / F.col("norm")).alias("score"))
-    return top_terms(sums, top)
+    return top_terms(topic_scores(tokens, top, min_docs, bigrams), top)
 
 
 def top_terms(scores: DataFrame, top: int) -> DataFrame:

@@ -103,6 +103,40 @@ def test_tfidf(spark):
     assert vectors.tfidf(docs, 2, 0.6).count() == 0
 
 
+def _topics(docs, bigrams=True):
+    """(cluster, term) to score, by the definition."""
+    terms = {d: (c, list(w) + [f"{a} {b}" for a, b in zip(w, w[1:])] * bigrams) for c, d, w in docs}
+    n, df, scores = {}, {}, {}
+    for c, t in terms.values():
+        n[c] = n.get(c, 0) + 1
+        for x in set(t):
+            df[c, x] = df.get((c, x), 0) + 1
+    for c, t in terms.values():
+        w = {x: t.count(x) * (math.log((1 + n[c]) / (1 + df[c, x])) + 1) for x in set(t)}
+        for x, v in w.items():
+            scores[c, x] = scores.get((c, x), 0) + v / math.sqrt(sum(y * y for y in w.values()))
+    return scores
+
+
+@pytest.mark.parametrize("share", [25, 10**6])
+def test_topics_of_shared_clusters(spark, monkeypatch, share):
+    """LBL-06: documents of one cluster in many buckets, words with a blank, and no row for each document and term."""
+    from reprise.operators import topics
+
+    monkeypatch.setattr(topics, "SHARE", share), monkeypatch.setattr(topics, "BUCKET", 60), monkeypatch.setattr(topics, "PART", 100)
+    r = np.random.default_rng(5)
+    docs = [("AB"[i % 2], i, [str(w) for w in r.choice(["a", "b", "a b", "c", "é", "d"] + [f"w{j}" for j in range(15)], r.integers(1, 12))]) for i in range(80)]
+    rows = spark.createDataFrame(docs + [("C", 200, ["x"]), ("A", 201, []), (None, 202, ["a"])], "cluster_id string, doc_id long, tokens array<string>")
+    found = labeling.cluster_topics(rows, 7)
+    got = {(x["cluster_id"], x["term"]): (x["rank"], x["score"]) for x in found.collect()}
+    want = _topics(docs + [("A", 201, [])])
+    for c in "AB":
+        best = sorted((-round(v, 9), t) for (k, t), v in want.items() if k == c)[:7]
+        assert [t for (k, t), _ in sorted(got.items(), key=lambda x: x[1][0]) if k == c] == [t for _, t in best]
+        assert all(math.isclose(got[c, t][1], -v, abs_tol=1e-8) for v, t in best)
+    assert len(got) == 14 and "Generate" not in found._jdf.queryExecution().toString()
+
+
 def test_purity(spark):
     p = evaluation.purity(spark.createDataFrame([("s1", "y1", 3), ("s1", "y2", 1), ("s2", "y1", 2)], "cluster_a string, cluster_b string, n long"))
     got = {r["cluster_a"]: (r["purity"], round(r["entropy"], 6), round(r["entropy_norm"], 6), r["k"], r["dominant"]) for r in p.collect()}
