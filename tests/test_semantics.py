@@ -137,6 +137,14 @@ def test_topics_of_shared_clusters(spark, monkeypatch, share):
     assert len(got) == 14 and "Generate" not in found._jdf.queryExecution().toString()
 
 
+def test_topics_move_terms_not_entries(spark):
+    """LBL-05: a term of a cluster's many documents leaves a bucket once."""
+    rows = spark.createDataFrame([("A", i, ["a", "b", "c"]) for i in range(300)], "cluster_id string, doc_id long, tokens array<string>")
+    found = labeling.cluster_topics(rows, 10)
+    assert [(r["rank"], r["term"], round(r["score"], 6)) for r in found.orderBy("rank").collect()] == [(i + 1, t, round(300 / math.sqrt(5), 6)) for i, t in enumerate(["a", "a b", "b", "b c", "c"])]
+    assert all("doc_id" not in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip(" :+-").startswith("Aggregate"))
+
+
 def test_purity(spark):
     p = evaluation.purity(spark.createDataFrame([("s1", "y1", 3), ("s1", "y2", 1), ("s2", "y1", 2)], "cluster_a string, cluster_b string, n long"))
     got = {r["cluster_a"]: (r["purity"], round(r["entropy"], 6), round(r["entropy_norm"], 6), r["k"], r["dominant"]) for r in p.collect()}
