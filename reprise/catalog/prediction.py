@@ -73,7 +73,7 @@ for _id, _kind in (("ML-06", "logistic"), ("ML-07", "forest"), ("ML-08", "svm"),
 
 @query("ML-10")
 def crossed(spark, sf):
-    rows = _data(spark, sf).withColumnRenamed("incident_id", "id")
+    rows = _data(spark, sf).select(F.col("incident_id").alias("id"), "site", "price", "label")
     out = M.cross_predict(rows, 5, lambda: M.pipeline(["price"], ["site"], "logistic"))
     return out.groupBy("fold").agg(F.count("*").alias("n"))
 

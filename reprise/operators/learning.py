@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reprise.plans.lineage import cut
+
 
 def supervised(labels: DataFrame, texts: DataFrame | None = None, run: str = "run_time", key: str = "incident_id", cutoff: str | None = None) -> DataFrame:
     """The rows of the latest label run, with texts joined by key and split_name by cutoff where given."""
@@ -93,14 +95,25 @@ def stratified(rows: DataFrame, label: str, shares: dict[str, float], key: str,
 
 
 def folds(rows: DataFrame, label: str, k: int, key: str, seed: int = 42) -> DataFrame:
-    """`rows` with fold from 0 to k - 1, even within each class."""
-    place = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key))
-    return rows.withColumn("fold", ((place - 1) % k).cast("int"))
+    """`rows` with fold from 0 to k - 1, even within each class.
+
+    A class is dealt in the order of seeded hashes. Places are counted within ranges of hashes, so no task sorts a whole class.
+    """
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_range", F.shiftright("_h", 54))
+    sizes = rows.groupBy(F.col(label).alias("_label"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_label").orderBy("_r").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("_label", "_r", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy(label, "_range").orderBy("_h", key))
+    dealt = rows.withColumn("_place", place).join(F.broadcast(starts), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")))
+    return dealt.withColumn("fold", ((F.col("_start") + F.col("_place") - 1) % k).cast("int")).drop("_h", "_range", "_label", "_r", "_start", "_place")
 
 
 def cross_predict(rows: DataFrame, k: int, build, label: str = "label", key: str = "id") -> DataFrame:
-    """`rows` with prediction and score of the model that was fitted without the row's fold."""
-    dealt, out = folds(rows, label, k, key), None
+    """`rows` with prediction and score of the model that was fitted without the row's fold.
+
+    The dealt rows are kept once, since each fit reads them several times; so give no more columns than the model needs.
+    """
+    dealt, out = cut(folds(rows, label, k, key)), None
     for i in range(k):
         model = build().fit(balance(dealt.where(F.col("fold") != i), label))
         part = scored(model.transform(dealt.where(F.col("fold") == i).withColumn("weight", F.lit(1.0)))).select(key, label, "fold", "prediction", "score")

@@ -196,6 +196,25 @@ def test_threshold_sweep(spark):
     assert learning.confusion(rows, F.col("sim") >= 0.95).first()["precision"] == 0
 
 
+def test_crossed_rows_are_made_once_and_dealt_as_one_order(spark):
+    """ML-10: every fit reads the dealt rows, not their plan; folds follow the hashes over the whole class."""
+    from pyspark.sql import Window as W
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    base = spark.range(0, 400, 1, 2).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("price"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("site"))
+    out = learning.cross_predict(base.mapInArrow(count, base.schema), 4, lambda: learning.pipeline(["price"], ["site"]))
+    got = {r["id"]: r["fold"] for r in out.collect()}
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit(42), "id"), "id"))
+    assert got == {r["id"]: (r["p"] - 1) % 4 for r in base.select("id", place.alias("p")).collect()}
+    assert made.value <= 2 * 400
+
+
 def test_eligibility(spark):
     rows = spark.createDataFrame([(1, "X", "alpha"), (2, "X", "beta"), (3, "X", " alpha "), (4, None, "gamma"), (5, "Y", "delta"), (6, "Y", "alpha")], "id long, modul string, d string")
     got = {r["id"]: r["reason"] for r in quality.mark_eligibility(rows, ["modul", "d"], "d", "modul", ["id"], 2).collect()}
