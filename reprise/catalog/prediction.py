@@ -73,9 +73,10 @@ for _id, _kind in (("ML-06", "logistic"), ("ML-07", "forest"), ("ML-08", "svm"),
 
 @query("ML-10")
 def crossed(spark, sf):
+    """Each row with the prediction of the model that has not seen its fold."""
     rows = _data(spark, sf).select(F.col("incident_id").alias("id"), "site", "price", "label")
     out = M.cross_predict(rows, 5, lambda: M.pipeline(["price"], ["site"], "logistic"))
-    return out.groupBy("fold").agg(F.count("*").alias("n"))
+    return out.select(F.col("id").alias("incident_id"), "label", "fold", F.col("prediction").cast("int").alias("prediction"), F.round("score", 6).alias("score"))
 
 
 @query("ML-11", _Y.format("SELECT label, count(*) AS n, count(*) FILTER (true) AS n_all FROM z GROUP BY 1"))

@@ -264,6 +264,18 @@ def test_crossed_rows_are_made_once_and_dealt_as_one_order(spark):
     assert made.value <= 2 * 400
 
 
+def test_crossed_query_returns_what_the_models_predict(spark, monkeypatch):
+    """ML-10: only rows were counted, whatever the fitted models said."""
+    from reprise.catalog import prediction
+
+    base = spark.range(200).select(F.col("id").alias("incident_id"), F.lit("x").alias("site"), (F.col("id") % 10).cast("double").alias("price"))
+    for high in (1, 0):
+        monkeypatch.setattr(prediction, "_data", lambda spark, sf: base.withColumn("label", F.when(F.col("price") >= 5, high).otherwise(1 - high)))
+        got = {r["incident_id"]: r for r in prediction.crossed(spark, "").collect()}
+        assert len(got) == 200 and {r["fold"] for r in got.values()} == set(range(5))
+        assert all(r["prediction"] == r["label"] == (high if i % 10 >= 5 else 1 - high) and (r["score"] > 0.5) == (r["label"] == 1) for i, r in got.items())
+
+
 def test_eligibility(spark):
     rows = spark.createDataFrame([(1, "X", "alpha"), (2, "X", "beta"), (3, "X", " alpha "), (4, None, "gamma"), (5, "Y", "delta"), (6, "Y", "alpha")], "id long, modul string, d string")
     got = {r["id"]: r["reason"] for r in quality.mark_eligibility(rows, ["modul", "d"], "d", "modul", ["id"], 2).collect()}
